@@ -40,9 +40,11 @@ def source_key(labels: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\u0001")
 
 
-@F.pandas_udf("int")
-def stagger(stream: pd.Series, key: pd.Series) -> pd.Series:
-    return pd.Series([stagger_bucket(s, k) for s, k in zip(stream, key, strict=True)])
+def stagger(stream: str | Column, key: str | Column) -> Column:
+    def buckets(streams: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([stagger_bucket(s, k) for s, k in zip(streams, keys, strict=True)])
+
+    return F.pandas_udf(buckets, "int")(stream, key)
 
 
 def fold_state(state: tuple[int, int], entries: Iterable[tuple[int, bytes]]) -> tuple[int, int]:
