@@ -15,7 +15,10 @@ from ..model import CALLER_BOUND, KEYS, STREAM_BOUND, Archive
 from .ingest import as_bounds, raise_bounds
 from .scan import with_mark
 
-ALIVE = F.expr("mark IS NULL OR ts > mark")
+
+def alive() -> Column:
+    """A tail row joined with its stream's watermark is live."""
+    return F.col("mark").isNull() | (F.col("ts") > F.col("mark"))
 
 
 @dataclass(frozen=True)
@@ -47,7 +50,7 @@ def evict(a: Archive, source_id: int, cutoff: int, streams: Column | None = None
     scope = mine if streams is None else mine & streams
     old = F.col("ts") < cutoff
     marked = with_mark(a.wal, a.segments)
-    gone_row, gone_segment = scope & old & ~ALIVE, scope & (F.col("last_ts") < cutoff)
+    gone_row, gone_segment = scope & old & ~alive(), scope & (F.col("last_ts") < cutoff)
     wal = marked.where(~gone_row).drop("mark")
     segments = a.segments.where(~gone_segment)
     bounds = raise_bounds(a.bounds, as_bounds(_tops(a, scope).where(old), STREAM_BOUND))
@@ -70,7 +73,7 @@ def evict(a: Archive, source_id: int, cutoff: int, streams: Column | None = None
     count = lambda df, **kinds: df.agg(*[F.count_if(c).alias(k) for k, c in kinds.items()])
     report = (
         count(a.segments, segments=gone_segment)
-        .crossJoin(count(marked, wal_rows=gone_row, kept_live_rows=scope & old & ALIVE))  # one row each
+        .crossJoin(count(marked, wal_rows=gone_row, kept_live_rows=scope & old & alive()))  # one row each
         .crossJoin(count(cut, caller_rows=gone_caller))
     )
     kept_keys = segments.select(*KEYS, "seq")
@@ -84,9 +87,9 @@ def evict(a: Archive, source_id: int, cutoff: int, streams: Column | None = None
 def discard_live(a: Archive, scope: Column) -> Archive:
     """Deletes live rows alone, after their streams' newest rows are recorded as bounds."""
     marked = with_mark(a.wal, a.segments)
-    touched = marked.where(scope & ALIVE).select(*KEYS).distinct()
+    touched = marked.where(scope & alive()).select(*KEYS).distinct()
     tops = _tops(a, F.lit(True)).join(touched, KEYS, "left_semi")
-    return replace(a, wal=marked.where(~(scope & ALIVE)).drop("mark"), bounds=raise_bounds(a.bounds, as_bounds(tops, STREAM_BOUND)))
+    return replace(a, wal=marked.where(~(scope & alive())).drop("mark"), bounds=raise_bounds(a.bounds, as_bounds(tops, STREAM_BOUND)))
 
 
 def prune(a: Archive, source_id: int, stream: str, upto: int) -> Archive:
