@@ -10,7 +10,9 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,11 +81,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce((n - ends).cast("long"), F.lit(0).cast("long"))
 
 
-def slices(batches, rows: int = 256):
-    """Arrow batches cut into pieces of a few hundred rows, which bounds what Python holds of long texts."""
+def slices(batches, rows: int = 1024, most_bytes: int = 4 << 20):
+    """Arrow batches cut into pieces of bounded rows and bytes, which bounds what Python holds of long texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        size = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)), np.zeros(batch.num_rows, np.int64))
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right"))), batch.num_rows)
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def arrow_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:

@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST
         task, seen, encode = TaskContext.get().partitionId(), defaultdict(int), encoder(path).encode
         for batch in slices(batches):
             rows = {f.name: [] for f in schema}
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), end_id), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1), end_id), strict=True):
                 raw, at = memoryview(ids.astype("<u4").tobytes()), 0
                 for length in lengths(len(ids), longest):
                     values = (doc, at, length, zlib.crc32(raw[4 * at : 4 * (at + length)]), len(ids), task, seen[length])

@@ -150,7 +150,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
     def tokenize(batches):
         encode, pack = encoder(vocabulary).encode, zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches):
-            parts = encode(batch.column(1).to_pylist(), end_id)
+            parts = encode(batch.column(1), end_id)
             yield arrow_batch({"doc_id": batch.column(0), "n": [len(p) for p in parts], "packed": [pack(p.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for p in parts]}, pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())]))
 
     def unpack(packed: bytes) -> np.ndarray:

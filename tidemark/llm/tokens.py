@@ -11,8 +11,11 @@ ids that the library gives for the whole text.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The pattern of the tokenizer file, and the byte alphabet of byte-level BPE.
@@ -20,6 +23,8 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]*")
 SPECIAL = "<|"
 
+LIMIT = 600_000  # words kept at some 200 bytes each; pieces: half as many
+
 _ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
 
 
@@ -36,7 +41,7 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str, limit: int = 250_000) -> "WordEncoder":
+def encoder(path: str, limit: int = LIMIT) -> "WordEncoder":
     """The worker's encoder; tasks that follow on the same worker find its cache filled."""
     if (path, limit) not in _ENCODERS:
         _ENCODERS[path, limit] = WordEncoder(path, limit)
@@ -44,9 +49,9 @@ def encoder(path: str, limit: int = 250_000) -> "WordEncoder":
 
 
 class WordEncoder:
-    """limit: the most words, and the most pieces, that are kept; beyond it the cache starts anew."""
+    """limit: the most words that are kept; beyond it the cache starts anew, and that of pieces beyond half of it."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = LIMIT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -54,7 +59,7 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.alphabet = byte_alphabet()
         self.limit = limit
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, array] = {}
         self._forget_words()
 
     def _forget_words(self) -> None:
@@ -64,51 +69,80 @@ class WordEncoder:
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> array:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
-            self.pieces[piece] = ids
+            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(spelled)])
         return ids
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> array:
+        """The word's ids. ASCII control characters and everything beyond Latin-1 are left to the library."""
+        if word.isalpha() and word.isascii():
+            return self._piece(word.lower())
         if SPECIAL in word or not PLAIN.fullmatch(word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        return [i for piece in PIECES.findall(word.lower()) for i in self._piece(piece)]
-
-    def _learn(self, words) -> None:
-        for word in words:
-            ids = self._word(word)
-            at, end = len(self.words), self.used + len(ids)
-            if at == len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * at), np.resize(self.length, 2 * at)
-            while end > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : end] = ids
-            self.start[at], self.length[at] = self.used, len(ids)
-            self.used = end
-            self.words[word] = at
-
-    def encode(self, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
-        """A uint32 array for each text, with end_id after it if that is given."""
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        words = [w for part in cut for w in part]
-        new = set(words).difference(self.words)
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids)
+        low = word.lower()
+        if low.isalpha():
+            return self._piece(low)
+        ids = array("I")
+        for piece in PIECES.findall(low):
+            ids += self._piece(piece)
+        return ids
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.words) + len(words) > len(self.start):
+            size = 2 * (len(self.words) + len(words))
+            self.start, self.length = np.resize(self.start, size), np.resize(self.length, size)
+        found = [self._word(word) for word in words]
+        more = sum(map(len, found))
+        if self.used + more > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + more))
+        at, lengths = len(self.words), np.fromiter(map(len, found), np.int64, len(found))
+        joined = array("I")
+        for ids in found:
+            joined += ids
+        self.flat[self.used : self.used + more] = joined
+        self.start[at : at + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.length[at : at + len(words)] = lengths
+        self.words.update(zip(words, range(at, at + len(words)), strict=True))
+        self.used += more
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one uint32 array, and where each text ends in it. Null counts as empty.
+
+        Arrow splits the texts and numbers their distinct words, so a word costs
+        Python work once for each call.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > self.limit:
             self._forget_words()
-            if len(self.pieces) > self.limit:
+            if len(self.pieces) > self.limit // 2:
                 self.pieces = {}
-            new = set(words)
+            new = words
         self._learn(new)
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        own = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        at = own[coded.indices.to_numpy()]
         length = self.length[at]
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.start[at] - (ends - length), length) + np.arange(total)]
-        stops = ends[np.cumsum([len(part) for part in cut]) - 1] if texts else []
-        out, begin = [], 0
-        for stop in stops:
-            one = ids[begin:stop]
-            out.append(one if end_id is None else np.append(one, np.uint32(end_id)))
-            begin = stop
-        return out
+        counts = pc.list_value_length(cut).to_numpy()
+        return ids, ends[np.cumsum(counts) - 1] if len(counts) else ends
+
+    def encode(self, texts: pa.Array | list, end_id: int | None = None) -> list[np.ndarray]:
+        """A uint32 array for each text, with end_id after it if that is given."""
+        ids, ends = self.encode_column(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        begins = [0, *ends[:-1].tolist()]
+        if end_id is None:
+            return [ids[b:e] for b, e in zip(begins, ends.tolist(), strict=True)]
+        places = ends + np.arange(len(ends))
+        out = np.full(len(ids) + len(ends), end_id, np.uint32)
+        kept = np.ones(len(out), bool)
+        kept[places] = False
+        out[kept] = ids
+        return [out[b + k : e + 1] for k, (b, e) in enumerate(zip(begins, places.tolist(), strict=True))] if len(ends) else []
