@@ -40,7 +40,7 @@ from .tokens import default_path, encoder
 MAGIC = b"TMTOK001"
 END_ID = 2
 BLOCK_IDS = 1 << 18
-FILE_ROWS = 50_000
+FILE_ROWS = 16_000
 
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)  # of the four ids of a control byte
 _RANKS: dict[str, np.ndarray] = {}

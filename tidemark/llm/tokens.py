@@ -137,6 +137,8 @@ class WordEncoder:
     def encode(self, texts: pa.Array | list, end_id: int | None = None) -> list[np.ndarray]:
         """A uint32 array for each text, with end_id after it if that is given."""
         ids, ends = self.encode_column(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        if not len(ends):
+            return []
         begins = [0, *ends[:-1].tolist()]
         if end_id is None:
             return [ids[b:e] for b, e in zip(begins, ends.tolist(), strict=True)]
@@ -145,4 +147,4 @@ class WordEncoder:
         kept = np.ones(len(out), bool)
         kept[places] = False
         out[kept] = ids
-        return [out[b + k : e + 1] for k, (b, e) in enumerate(zip(begins, places.tolist(), strict=True))] if len(ends) else []
+        return [out[b + k : e + 1] for k, (b, e) in enumerate(zip(begins, places.tolist(), strict=True))]
