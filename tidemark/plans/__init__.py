@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _registered():
-    from . import registry, rewrites, scans, writes  # noqa: F401
+    from . import registry, replication, rewrites, scans, writes  # noqa: F401
 
     return registry
 
