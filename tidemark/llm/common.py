@@ -72,6 +72,11 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """One column `row` that holds all of a document's, so no name of its own can clash; `row.*` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, without building more than the split array."""
     parts = F.split(text, SPACES + "+")

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, new_path, text_or_empty, written
+from .common import SPACES, new_path, text_or_empty, wrapped, written
 
 
 def text_digests(docs: DataFrame) -> DataFrame:
@@ -77,8 +77,9 @@ def exact_groups(docs: DataFrame, index_path: str | None = None) -> DataFrame:
 
 def dedup_documents(docs: DataFrame, index_path: str | None = None) -> DataFrame:
     """The documents that stay, with the columns they came with."""
-    kept = exact_groups(docs, index_path).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    text = text_or_empty()
-    marked = docs.withColumn("_of", F.unhex(F.sha2(F.regexp_replace(text, SPACES + "+", ""), 256))).withColumn("_points", F.length(text))
-    longest = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest")), "left_semi")
-    return longest.dropDuplicates(["doc_id", "_of"]).select(*docs.columns)
+    kept = exact_groups(docs, index_path).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("digest").alias("keep_digest"), "n_points").distinct()
+    text = text_or_empty("row.text")
+    marked = wrapped(docs).withColumns({"digest": F.unhex(F.sha2(F.regexp_replace(text, SPACES + "+", ""), 256)), "points": F.length(text).cast("long")})
+    same = F.col("row.doc_id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest")) & (F.col("points") == F.col("n_points"))
+    longest = marked.join(kept, same, "left_semi").withColumn("doc_id", F.col("row.doc_id"))
+    return longest.dropDuplicates(["doc_id", "digest", "points"]).select("row.*")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, text_or_empty, word_count, written
+from .common import SPACES, text_or_empty, word_count, wrapped, written
 
 WEIGHTS = (3, 1, 2)
 SHARE_HALVES = 3  # wanted words, in halves of all words
@@ -101,13 +101,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, block_words:
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
     """The mix itself: each document as often as it is taken; one that a block boundary cuts comes with its first words."""
-    taken = mix_sources(docs, weights).select(F.col("doc_id").alias("_id"), "taken", F.col("size").alias("_size")).dropDuplicates(["_id", "_size"])
-    counted = docs.withColumn("_words", word_count(text_or_empty()))
-    rows = counted.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))).where("taken > 0")
-    copies = F.transform(F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div _size")), lambda k: F.least(F.col("_size"), F.col("taken") - k * F.col("_size")))
-    rows = rows.withColumn("_take", F.explode(copies))
-    words = F.filter(F.split(F.col("text"), SPACES + "+"), lambda w: w != "")
-    text = F.when(F.col("_take") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_take").cast("int")), " "))
-    rows = rows.withColumn("_text", text)
-    changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    taken = mix_sources(docs, weights).select(F.col("doc_id").alias("mix_id"), "taken", "size").dropDuplicates(["mix_id", "size"])
+    counted = wrapped(docs).withColumn("n", word_count(text_or_empty("row.text")))
+    rows = counted.join(taken, F.col("row.doc_id").eqNullSafe(F.col("mix_id")) & (F.col("n") == F.col("size"))).where("taken > 0")
+    copies = F.transform(F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div size")), lambda k: F.least(F.col("size"), F.col("taken") - k * F.col("size")))
+    rows = rows.select("row", "size", F.explode(copies).alias("take"))
+    words = F.filter(F.split(F.col("row.text"), SPACES + "+"), lambda w: w != "")
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("take").cast("int")), " ")
+    text = F.when(F.col("take") == F.col("size"), F.col("row.text")).otherwise(cut)
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select("row", text.alias("text")).select(*[(changed[c] if c in changed else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, prepare, slices, text_or_empty, written
+from .common import arrow_batch, prepare, slices, text_or_empty, wrapped, written
 
 SHINGLE = 3
 SEED = 42
@@ -181,5 +181,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """One document of each group, that with the smallest doc_id, with the columns it came with."""
-    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
+    stays = wrapped(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return stays.withColumn("doc_id", F.col("row.doc_id")).dropDuplicates(["doc_id"]).select("row.*")
