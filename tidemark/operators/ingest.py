@@ -99,3 +99,12 @@ def as_bounds(tops: DataFrame, kind: int) -> DataFrame:
 def finalize(sources: DataFrame, source_id: int, complete: bool = True) -> DataFrame:
     """sources with one marked complete, or incomplete again."""
     return sources.withColumn("complete", F.when(F.col("id") == source_id, complete).otherwise(F.col("complete")))
+
+
+def beat(sources: DataFrame, source_id: int, interval: int) -> DataFrame:
+    """sources with one's heartbeat advanced; its first beat says how often more will come."""
+    mine = F.col("id") == source_id
+    return sources.withColumns({
+        "heartbeat": F.when(mine, F.coalesce("heartbeat", F.lit(0)) + 1).otherwise(F.col("heartbeat")),
+        "heartbeat_interval": F.when(mine, F.lit(interval).cast("long")).otherwise(F.col("heartbeat_interval")),
+    })

@@ -90,3 +90,11 @@ def caller_names_or_bounded(a: Archive) -> DataFrame:
     """Names that hold a row or once did."""
     bounded = a.bounds.where(F.col("kind") == CALLER_BOUND).select("source_id", F.col("name").alias("stream"))
     return a.caller_rows.select(*KEYS).union(bounded).distinct()
+
+
+def sniff(content: Column, marks: list[tuple[str, int, bytes]]) -> Column:
+    """The first kind of (kind, offset, magic) whose magic lies there in a file's bytes, else `other`; null for no bytes at all."""
+    out = F.lit("other")
+    for kind, offset, magic in reversed(marks):
+        out = F.when(F.substring(content, offset + 1, len(magic)) == F.lit(magic), kind).otherwise(out)
+    return F.when(F.octet_length(content) > 0, out)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.hashes import STAGGER_BUCKETS
 from ..functions.times import ranked
-from ..model import KEYS
+from ..model import KEYS, STREAM_BOUND, Archive
+from . import stats
+from .ingest import add_clock_offsets, as_bounds, raise_bounds
+from .scan import live, watermarks
 
 
 @dataclass(frozen=True)
@@ -159,3 +162,45 @@ def sync(segments: DataFrame, wal: DataFrame, points: DataFrame) -> DataFrame:
         *KEYS, "at", F.when(inside, "inside_segment").otherwise("synced").alias("outcome"), F.when(inside, 0).otherwise(zero("_sealed")).alias("sealed"),
         F.when(inside, 0).otherwise(zero("_gone") + zero("_cut")).alias("replaced"), F.when(~inside & (newest > F.col("at")), newest).alias("bound"),
     )
+
+
+def _catalog(segments: DataFrame, a: Archive) -> DataFrame:
+    """Segments in the catalog's columns; what isn't known of new ones, such as their size on disk, is null."""
+    missing = {c: F.lit(None).cast(a.segments.schema[c].dataType) for c in a.segments.columns if c not in segments.columns}
+    return segments.withColumns(missing).select(*a.segments.columns) if missing else segments.select(*a.segments.columns)
+
+
+def sealed(a: Archive, max_rows: int, slice_width: int) -> Archive:
+    """The archive with all live rows sealed: segments, payload, a clock observation for each source, no tail left."""
+    parts = sealed_parts(live(a.wal, a.segments), stats.next_seqs(a.segments), max_rows, slice_width)
+    observed = add_clock_offsets(a.clock_offsets, observations(parts).withColumn("ord", F.lit(0)))
+    return replace(
+        a, segments=a.segments.unionByName(_catalog(segments_of(parts), a)), payload=a.payload.unionByName(parts.select(*a.payload.columns)),
+        wal=a.wal.where("false"), clock_offsets=a.clock_offsets.unionByName(observed.select(*a.clock_offsets.columns)),
+    )
+
+
+def adopted(a: Archive, offered: DataFrame, payload: DataFrame) -> Archive:
+    """The archive with the offers that adoption() takes, one a stream, at their streams' next seq; payload: keys, ts and the payload's columns."""
+    taken = adoption(offered, watermarks(a.segments), live(a.wal, a.segments)).where("outcome = 'adopted'").join(stats.next_seqs(a.segments), KEYS, "left").withColumn("seq", F.coalesce("next_seq", F.lit(0)))
+    rows = payload.join(taken.select(*KEYS, "seq"), KEYS)
+    return replace(a, segments=a.segments.unionByName(_catalog(taken, a)), payload=a.payload.unionByName(rows.select(*a.payload.columns)))
+
+
+def synced(a: Archive, points: DataFrame) -> Archive:
+    """The archive after its streams are cut at points (keys, at): live rows up to a point sealed, all beyond it gone.
+
+    Streams whose point lies inside a segment stay as they are; see sync().
+    """
+    cut = sync(a.segments, a.wal, points).where("outcome = 'synced'").select(*KEYS, "at", "bound")
+    at = cut.select(*KEYS, "at")
+    alive = live(a.wal, a.segments).join(at, KEYS).where(F.col("ts") <= F.col("at")).drop("at")
+    new = alive.join(stats.next_seqs(a.segments), KEYS, "left").withColumn("seq", F.coalesce("next_seq", F.lit(0))).drop("next_seq")
+    kept = a.segments.join(at, KEYS, "left").where("at IS NULL OR first_ts <= at").drop("at")
+    k = [*KEYS, "seq"]
+    keys = kept.select(*k)
+    bounds = cut.where("bound IS NOT NULL").select(*KEYS, F.col("bound").alias("ts"))
+    return replace(
+        a, segments=kept.unionByName(_catalog(segments_of(new), a)), payload=a.payload.join(keys, k, "left_semi").unionByName(new.select(*a.payload.columns)),
+        segment_indexes=a.segment_indexes.join(keys, k, "left_semi"), wal=a.wal.join(at, KEYS, "left_anti"), bounds=raise_bounds(a.bounds, as_bounds(bounds, STREAM_BOUND)),
+    )

@@ -13,6 +13,12 @@ START, END = 1_704_672_000_000_000, 1_705_276_800_000_000  # a week
 K = "source_id, stream"
 
 
+@query("s1_sniff", "SELECT page_id, CASE WHEN html = '' THEN NULL WHEN starts_with(html, '<!DOCTYPE') THEN 'doctype' WHEN starts_with(html, '<html') THEN 'html' WHEN substr(html, 2, 4) = 'head' THEN 'head' ELSE 'other' END AS kind FROM pages", prefix="")
+def s1(spark, sf_dir):
+    marks = [("doctype", 0, b"<!DOCTYPE"), ("html", 0, b"<html"), ("head", 1, b"head")]
+    return table(spark, sf_dir, "pages").select("page_id", scan.sniff(F.col("html").cast("binary"), marks).alias("kind"))
+
+
 @on_archive("s4_sources", "SELECT * FROM sources")
 def s4(a):
     s = a.sources

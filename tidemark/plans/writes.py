@@ -303,3 +303,71 @@ names AS (SELECT source_id, stream, max(ts) AS ts FROM caller_rows WHERE source_
 SELECT source_id, kind, name, max(ts) AS ts FROM (SELECT * FROM bounds UNION ALL SELECT source_id, 0, stream, ts FROM tops UNION ALL SELECT source_id, 1, stream, ts FROM names) GROUP BY source_id, kind, name""")
 def d7(a):
     return retention.evict(a, 2, LAST).archive.bounds
+
+
+@on_archive("w7_sealed_archive", f"""SELECT source_id, stream, count(*) AS n_segments, sum(n_rows)::BIGINT AS n_rows, max(last_ts) AS last_ts FROM (
+  SELECT {K}, n_rows, last_ts FROM segments
+  UNION ALL SELECT {K}, count(*), max(ts) FROM (SELECT *, (row_number() OVER (PARTITION BY {K} ORDER BY ts) - 1) // 4 AS part FROM live) GROUP BY {K}, part) GROUP BY {K}""")
+def w7_archive(a):
+    return seal.sealed(a, 4, SLICE).segments.groupBy("source_id", "stream").agg(F.count("*").alias("n_segments"), F.sum("n_rows").alias("n_rows"), F.max("last_ts").alias("last_ts"))
+
+
+@on_archive("w7_sealed_clock", "SELECT * FROM clock_offsets UNION ALL SELECT source_id, o.ts, o.wall_offset FROM (SELECT source_id, arg_max({'ts': ts, 'wall_offset': wall_offset}, {'ts': ts, 'stream': stream}) AS o FROM live GROUP BY source_id) l WHERE NOT EXISTS (SELECT 1 FROM clock_offsets c WHERE c.source_id = l.source_id AND c.ts = l.o.ts)")
+def w7_clock(a):
+    return seal.sealed(a, 4, SLICE).clock_offsets
+
+
+@on_archive("w10_adopted_archive", f"""SELECT source_id, stream, max(seq) AS seq, max(last_ts) AS last_ts, sum(n_rows)::BIGINT AS n_rows FROM (
+  SELECT {K}, seq, last_ts, n_rows FROM segments
+  UNION ALL SELECT m.source_id, m.stream, (SELECT max(seq) + 1 FROM segments s WHERE s.source_id = m.source_id AND s.stream = m.stream), mark + 2, 1
+  FROM marks m WHERE m.stream <> 'view' AND NOT EXISTS (SELECT 1 FROM live l WHERE l.source_id = m.source_id AND l.stream = m.stream AND l.ts <= mark + 2)) GROUP BY {K}""")
+def w10_archive(a):
+    marks = scan.watermarks(a.segments).where("stream <> 'view'")
+    offered = marks.select("source_id", "stream", F.lit(1).cast("long").alias("n_rows"), (F.col("mark") + 2).alias("first_ts"), (F.col("mark") + 2).alias("last_ts"))
+    payload = marks.select("source_id", "stream", (F.col("mark") + 2).alias("ts"), F.lit(0).cast("long").alias("wall_offset"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"), F.lit(-1).cast("long").alias("event_id"))
+    out = seal.adopted(a, offered, payload)
+    return out.segments.groupBy("source_id", "stream").agg(F.max("seq").alias("seq"), F.max("last_ts").alias("last_ts"), F.sum("n_rows").alias("n_rows"))
+
+
+SYNCED = f""", points AS (SELECT source_id, stream, CASE WHEN source_id = 1 THEN max(last_ts) ELSE min(last_ts) + (source_id - 2) * {2 * SLICE} END AS at_ FROM segments WHERE stream <> 'click' GROUP BY source_id, stream),
+cut AS (SELECT p.* FROM points p WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.source_id = p.source_id AND s.stream = p.stream AND s.first_ts <= at_ AND at_ < s.last_ts))
+"""
+
+
+@on_archive("w12_synced_catalog", SYNCED + f"""SELECT s.source_id, s.stream, s.seq, s.n_rows FROM segments s LEFT JOIN cut c ON s.source_id = c.source_id AND s.stream = c.stream WHERE at_ IS NULL OR first_ts <= at_
+UNION ALL SELECT l.source_id, l.stream, any_value(m.n), count(*) FROM live l JOIN cut c ON l.source_id = c.source_id AND l.stream = c.stream JOIN (SELECT {K}, max(seq) + 1 AS n FROM segments GROUP BY {K}) m ON l.source_id = m.source_id AND l.stream = m.stream WHERE l.ts <= at_ GROUP BY l.source_id, l.stream""")
+def w12_catalog(a):
+    return synced(a).segments.select("source_id", "stream", "seq", "n_rows")
+
+
+@on_archive("w12_synced_wal", SYNCED + "SELECT w.source_id, w.stream, w.ts, w.event_id FROM wal w WHERE NOT EXISTS (SELECT 1 FROM cut c WHERE c.source_id = w.source_id AND c.stream = w.stream)")
+def w12_wal(a):
+    return synced(a).wal.select("source_id", "stream", "ts", "event_id")
+
+
+@on_archive("w12_synced_bounds", SYNCED + f""", tops AS (SELECT {K}, max(ts) AS newest FROM (SELECT {K}, ts FROM wal UNION ALL SELECT {K}, last_ts FROM segments) GROUP BY {K})
+SELECT source_id, kind, name, max(ts) AS ts FROM (SELECT * FROM bounds UNION ALL SELECT t.source_id, 0, t.stream, newest FROM tops t JOIN cut c ON t.source_id = c.source_id AND t.stream = c.stream WHERE newest > at_) GROUP BY source_id, kind, name""")
+def w12_bounds(a):
+    return synced(a).bounds
+
+
+def synced(a):
+    points = a.segments.where("stream <> 'click'").groupBy("source_id", "stream").agg(F.min("last_ts").alias("lo"), F.max("last_ts").alias("hi"))
+    return seal.synced(a, points.select("source_id", "stream", F.when(F.col("source_id") == 1, F.col("hi")).otherwise(F.col("lo") + (F.col("source_id") - 2) * 2 * SLICE).alias("at")))
+
+
+@on_archive("w17_heartbeat", "SELECT id, CASE WHEN id = 2 THEN heartbeat + 1 ELSE heartbeat END AS heartbeat, CASE WHEN id = 2 THEN 7 ELSE heartbeat_interval END AS heartbeat_interval FROM sources")
+def w17(a):
+    return ingest.beat(a.sources, 2, 7).select("id", "heartbeat", "heartbeat_interval")
+
+
+@on_archive("d6_delete_tail", f"SELECT * FROM wal WHERE NOT (source_id = 1 AND stream = 'view' AND ts > {CUTOFF} AND ts <= {LAST})")
+def d6_tail(a):
+    return retention.delete_tail(a, 1, "view", CUTOFF, LAST).wal
+
+
+@on_archive("d4_discard_bounds", f"""SELECT source_id, kind, name, max(ts) AS ts FROM (SELECT * FROM bounds UNION ALL
+  SELECT t.source_id, 0, t.stream, t.ts FROM (SELECT {K}, max(ts) AS ts FROM (SELECT {K}, ts FROM wal UNION ALL SELECT {K}, last_ts FROM segments) GROUP BY {K}) t
+  WHERE t.source_id IN (1, 2) AND EXISTS (SELECT 1 FROM live l WHERE l.source_id = t.source_id AND l.stream = t.stream)) GROUP BY source_id, kind, name""")
+def d4_bounds(a):
+    return retention.discard_live(a, F.col("source_id").isin(1, 2)).bounds
