@@ -52,8 +52,8 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 12.0, 20),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.1),
     Rule("shouting_per_word", "n_exclamations", "n_words", None, 0.3),
-    Rule("stop_words", "n_stop_words", "n_words", 0.01, None, 100),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.3, 4),
+    Rule("stop_words", "n_stop_words", "n_words", 0.02, None, 50),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.5, 8),
 )
 
 
