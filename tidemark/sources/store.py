@@ -135,12 +135,26 @@ class Store:
     def _table(self, name: str, parts: list[dict]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], DEFAULTS[name])
-        frames = [self.spark.read.schema(p["schema"]).parquet(f"{self.root}/data/{p['path']}") for p in parts]
+        # Parts of one schema are one scan, however many commits made them.
+        alike: dict[str, list[str]] = {}
+        for p in parts:
+            alike.setdefault(p["schema"], []).append(f"{self.root}/data/{p['path']}")
+        frames = [self._scan(name, schema, paths) for schema, paths in alike.items()]
         out = frames[0]
         for more in frames[1:]:
             out = out.unionByName(more, allowMissingColumns=True)
         return out
 
+    def _scan(self, name: str, schema: str, paths: list[str]) -> DataFrame:
+        if name not in PARTITIONED:
+            return self.spark.read.schema(schema).parquet(*paths)
+        # Partition columns are found below each part's folder, which therefore is a base of its own.
+        frames = [self.spark.read.schema(schema).option("basePath", path).parquet(path) for path in paths]
+        out = frames[0]
+        for more in frames[1:]:
+            out = out.unionByName(more)
+        return out
+
     def commit(self, changes: Mapping[str, DataFrame | Append], expected: int | None = None, notes: Mapping[str, str] | None = None) -> int:
         """The version made of the newest, or `expected`, and the changes; Conflict if that isn't the newest any more."""
         base = self.manifest(expected)
