@@ -12,7 +12,7 @@ import corpus_pipeline
 from tidemark.llm import language, mixing
 from tidemark.llm.queries import ORACLES, QUERIES
 
-from .test_operators import library_ids, plain_components, plain_fingerprint
+from .test_operators import frame, library_ids, plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,6 +55,18 @@ def test_stages(spark):
     assert per == {d: sum(n * k for (e, n), k in expected.items() if e == d) for d in {e for e, _ in expected}}
 
 
+def test_stages_take_odd_rows_and_columns(spark):
+    odd = [(1, None, "en", None), (None, "the cat sat", None, "s"), (None, None, None, None), (2, "", "fr", "s"), (3, "the cat sat", "en", "s"), (3, "the cat sat", "en", "s"), (4, "THE cat\tsat ", "en", "t"), (5, "le chien et le chat", "fr", None), (6, "word " * 9000, "en", "t"), (7, "?!", "en", "t")]
+    for rows in (odd, []):
+        current = frame(spark, rows)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            current = stage(spark, current, SF)
+            assert current.columns == frame(spark, []).columns
+        left = {r.doc_id for r in current.collect()}
+        assert left <= {None, 3, 4, 5, 6} and bool(left) == bool(rows)
+        assert corpus_pipeline.STAGES[-1][1](spark, current, SF).count() >= len(left)
+
+
 def test_run_ends_in_pieces(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[:2] == ["doc_id", "start"] and out.count() > 0

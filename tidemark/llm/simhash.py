@@ -38,7 +38,7 @@ SEED = 42
 MOST_BITS = 2
 BYTES = 8
 LEAST_SHARED = BYTES - MOST_BITS
-FREE = list(combinations(range(BYTES), MOST_BITS))  # the byte positions that a posting leaves open
+FREE = list(combinations(range(BYTES), BYTES - LEAST_SHARED))  # the byte positions that a posting leaves open
 FEW = 64  # up to so many fingerprints a posting's pairs are compared directly
 
 FINGERPRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
