@@ -133,6 +133,23 @@ def _rank_table(path: str) -> np.ndarray:
     return _RANKS[path]
 
 
+def _packer():
+    """Packs ids for the working table: their byte planes, 2 where that is enough, by a fast compressor."""
+    compress = zstandard.ZstdCompressor(level=1).compress
+
+    def pack(ids: np.ndarray) -> bytes:
+        width = 2 if ids.max(initial=0) < 1 << 16 else 4
+        return bytes([width]) + compress(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
+
+    return pack
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    width = packed[0]
+    planes = np.frombuffer(zstandard.decompress(memoryview(packed)[1:]), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<u{width}").reshape(-1).astype(np.uint32, copy=False)
+
+
 def _block(docs: list, parts: list[np.ndarray], rank_of: np.ndarray) -> bytes:
     counts = np.array([len(p) for p in parts], "<u4")
     control, data = encode_ids(rank_of[np.concatenate(parts)])
@@ -148,14 +165,10 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
     folder, vocabulary = folder or new_path(spark, "token-files"), tokenizer or default_path()
 
     def tokenize(batches):
-        encode, pack = encoder(vocabulary).encode, zstandard.ZstdCompressor(level=1).compress
+        encode, pack = encoder(vocabulary).encode, _packer()
         for batch in slices(batches):
             parts = encode(batch.column(1), end_id)
-            yield arrow_batch({"doc_id": batch.column(0), "n": [len(p) for p in parts], "packed": [pack(p.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for p in parts]}, pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())]))
-
-    def unpack(packed: bytes) -> np.ndarray:
-        planes = np.frombuffer(zstandard.decompress(packed), np.uint8)
-        return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1)
+            yield arrow_batch({"doc_id": batch.column(0), "n": [len(p) for p in parts], "packed": [pack(p) for p in parts]}, pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())]))
 
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     tokens = written(texts.mapInArrow(tokenize, "doc_id long, n long, packed binary"), "token-ids", compression="none")

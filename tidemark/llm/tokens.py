@@ -23,7 +23,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]*")
 SPECIAL = "<|"
 
-LIMIT = 600_000  # words kept at some 200 bytes each; pieces: half as many
+LIMIT = 450_000  # words kept at some 200 bytes each; pieces: half as many
 
 _ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
 
@@ -66,8 +66,8 @@ class WordEncoder:
         self.words: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 14, np.int64)
-        self.length = np.zeros(1 << 14, np.int64)
+        self.start = np.zeros(1 << 14, np.int32)
+        self.length = np.zeros(1 << 14, np.int32)
 
     def _piece(self, piece: str) -> array:
         ids = self.pieces.get(piece)
@@ -92,12 +92,12 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         if len(self.words) + len(words) > len(self.start):
-            size = 2 * (len(self.words) + len(words))
+            size = 3 * (len(self.words) + len(words)) // 2
             self.start, self.length = np.resize(self.start, size), np.resize(self.length, size)
         found = [self._word(word) for word in words]
         more = sum(map(len, found))
         if self.used + more > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + more))
+            self.flat = np.resize(self.flat, 3 * (self.used + more) // 2)
         at, lengths = len(self.words), np.fromiter(map(len, found), np.int64, len(found))
         joined = array("I")
         for ids in found:
@@ -128,7 +128,7 @@ class WordEncoder:
         own = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         at = own[coded.indices.to_numpy()]
         length = self.length[at]
-        ends = np.cumsum(length)
+        ends = np.cumsum(length, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.start[at] - (ends - length), length) + np.arange(total)]
         counts = pc.list_value_length(cut).to_numpy()
