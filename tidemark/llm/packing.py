@@ -70,8 +70,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST,
     cut = written(pieces(docs, tokenizer, longest, end_id, with_ids), "pieces")
     runs = cut.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = W.orderBy(F.col("length").desc(), "task").rowsBetween(W.unboundedPreceding, -1)
-    # A row for each task and length: tasks times 12 at most, whatever the rows.
-    base = runs.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # A row for each task and length: tasks times 12 at most, whatever the rows. As a table its size is known before
+    # the join is planned, so the pieces aren't shuffled for it while it is small.
+    base = written(runs.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "piece-bases")
     numbered = cut.join(base, ["length", "task"])
     out = numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *["ids"] * with_ids)
     return out
