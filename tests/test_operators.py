@@ -197,6 +197,17 @@ def test_document_forks_only_when_a_head_is_displaced(spark):
     assert {(r.name, r.forked, r.displaced) for r in c.report.collect()} == {("x", True, "mine"), ("y", False, None), ("z", False, None), ("v", False, None)}
 
 
+def test_every_order_is_a_request(spark):
+    from tidemark import plans
+
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
+    judged = plans.queries()["w19_all_requests"](spark, sf).cache()
+    assert orders > 400 and judged.count() == orders
+    ids = times(plans.queries()["w19_all_revisions"](spark, sf), "created", "id")
+    assert len(ids) == judged.where("outcome IN ('put', 'deleted')").count() and [i for _, i in ids] == list(range(ids[0][1], ids[0][1] + len(ids)))
+
+
 def test_schema_policy_names(spark):
     with pytest.raises(ValueError, match="schema policy"):
         rewrite.plan_runs(spark.createDataFrame([], SEGMENTS), 1, "whatever")

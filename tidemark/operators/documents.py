@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.times import ranked
+
 KEY = ["kind", "name"]
 CONTENT = ["kind", "name", "schema", "body"]
 RESERVED = "tidemark."
+ORD_SLICE = 1 << 16  # requests are numbered within slices of their ord, so no task orders all
 
 
 def heads(docs: DataFrame) -> DataFrame:
@@ -56,17 +59,15 @@ def judge(docs: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def applied(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The revisions that judged requests add; judged has uuid and created for them.
+    """The revisions that judged requests add, in the order of ord; judged has uuid and created for them.
 
-    Ids go on from the newest; a request list is what one caller sends, so its
-    order is settled in one task.
+    Ids go on from the newest.
     """
     last = docs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
     ok = judged.where(F.col("outcome").isin("put", "deleted"))
-    n = F.row_number().over(W.orderBy("ord"))
     deleted = F.col("outcome") == "deleted"
-    return ok.crossJoin(last).select(  # one row
-        (F.col("last") + n).alias("id"), "uuid", *KEY, F.when(~deleted, F.col("schema")).alias("schema"), F.when(~deleted, F.col("body")).alias("body"), "created", F.col("head_id").alias("supersedes"),
+    return ranked(ok, [], "ord", [], ORD_SLICE).crossJoin(last).select(  # one row
+        (F.col("last") + F.col("rn")).alias("id"), "uuid", *KEY, F.when(~deleted, F.col("schema")).alias("schema"), F.when(~deleted, F.col("body")).alias("body"), "created", F.col("head_id").alias("supersedes"),
     )
 
 

@@ -45,9 +45,12 @@ outcomes AS (
        WHEN action = 'delete' AND head_uuid IS NULL THEN 'absent' WHEN action = 'delete' THEN 'deleted' ELSE 'put' END AS outcome FROM judged)
 """
 
+#: The same over all of lineitem.
+W19_ALL = W19.replace("WHERE l_orderkey < 400 ", "")
 
-def requests(spark, sf_dir, docs):
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey < 400").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("n"))
+
+def requests(spark, sf_dir, docs, only="true"):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(only).groupBy("l_orderkey").agg(F.min("l_linenumber").alias("n"))
     k, n = F.col("l_orderkey"), F.col("n")
     r = lines.select(
         (n * 10_000_000 + k).alias("ord"), F.when(n % 3 == 0, "delete").when(n % 3 == 1, "put_if").otherwise("put").alias("action"),
@@ -58,20 +61,44 @@ def requests(spark, sf_dir, docs):
     return r.join(h, ["kind", "name"], "left").withColumn("expected", F.when(F.col("ord") % 2 == 0, F.col("_u")).otherwise("other")).drop("_u")
 
 
-@query("w19_document_requests", W19 + "SELECT ord, kind, name, outcome FROM outcomes")
-def w19(spark, sf_dir):
+JUDGED = "SELECT ord, kind, name, outcome FROM outcomes"
+
+
+def w19_judged(spark, sf_dir, only="true"):
     docs = revisions(spark, sf_dir)
-    return documents.judge(docs, requests(spark, sf_dir, docs)).select("ord", "kind", "name", "outcome")
+    return documents.judge(docs, requests(spark, sf_dir, docs, only)).select("ord", "kind", "name", "outcome")
 
 
-@query("w19_document_revisions", W19 + """SELECT (SELECT max(id) FROM docs) + row_number() OVER (ORDER BY ord) AS id, md5(ord::VARCHAR) AS uuid, kind, name, CASE WHEN outcome = 'put' THEN schema END AS schema, CASE WHEN outcome = 'put' THEN body END AS body, ord AS created, head_id AS supersedes
-FROM outcomes WHERE outcome IN ('put', 'deleted')""")
-def w19_revisions(spark, sf_dir):
+@query("w19_document_requests", W19 + JUDGED)
+def w19(spark, sf_dir):
+    return w19_judged(spark, sf_dir, "l_orderkey < 400")
+
+
+@query("w19_all_requests", W19_ALL + JUDGED)
+def w19_all(spark, sf_dir):
+    return w19_judged(spark, sf_dir)
+
+
+REVISED = """SELECT (SELECT max(id) FROM docs) + row_number() OVER (ORDER BY ord) AS id, md5(ord::VARCHAR) AS uuid, kind, name, CASE WHEN outcome = 'put' THEN schema END AS schema, CASE WHEN outcome = 'put' THEN body END AS body, ord AS created, head_id AS supersedes
+FROM outcomes WHERE outcome IN ('put', 'deleted')"""
+
+
+def w19_applied(spark, sf_dir, only="true"):
     docs = revisions(spark, sf_dir)
-    judged = documents.judge(docs, requests(spark, sf_dir, docs)).withColumns({"uuid": F.md5(F.col("ord").cast("string")), "created": F.col("ord")})
+    judged = documents.judge(docs, requests(spark, sf_dir, docs, only)).withColumns({"uuid": F.md5(F.col("ord").cast("string")), "created": F.col("ord")})
     return documents.applied(docs, judged)
 
 
+@query("w19_document_revisions", W19 + REVISED)
+def w19_revisions(spark, sf_dir):
+    return w19_applied(spark, sf_dir, "l_orderkey < 400")
+
+
+@query("w19_all_revisions", W19_ALL + REVISED)
+def w19_all_revisions(spark, sf_dir):
+    return w19_applied(spark, sf_dir)
+
+
 C8 = """, own AS (SELECT 1000000000000000 + conv_id AS id, md5('own' || conv_id) AS uuid, 'user' AS kind, conv_id::VARCHAR AS name, CASE WHEN conv_id % 9 = 0 THEN NULL ELSE 'turn/1' END AS schema, CASE WHEN conv_id % 9 = 0 THEN NULL ELSE '{}' END AS body, conv_id AS created FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 3 = 0)),
 dst AS (
   SELECT * FROM docs WHERE id < 2 * 4294967296
