@@ -175,6 +175,20 @@ def test_random_strings_but_no_digests_or_identifiers():
     assert not secrets.random_spans("d41d8cd98f00b204e9800998ecf8427e some/path/to/a/file_name2 internationalization2", enc)
 
 
+def test_random_strings_of_any_shape():
+    enc, rng = secrets.encoding(), random.Random(8)
+    letters, base62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    draw = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    path = "/var/lib/application/configuration/production/credentials/"
+    for make in (lambda: draw(letters, 20), lambda: draw(letters, 40), lambda: draw(base62, 16), lambda: draw(base62, 19), lambda: "-".join(draw(letters, 6) for _ in range(5)), lambda: draw(letters, 16) + "1234"):
+        drawn = [make() for _ in range(100)]
+        assert sum(bool(secrets.random_spans(f"see {s} there", enc)) for s in drawn) >= 97
+        spans = [(s, secrets.random_spans(path + s, enc)) for s in drawn]
+        assert sum(any(b - a >= 15 and b > len(path) for _, a, b in found) for s, found in spans) >= 95
+    for known in ("get_user_name_from_database", "internationalizationConfiguration", "some-package-name-with-version2", "is_in_a_to_do_of_up_at", "2024-01-02-report", "20240102T030405Z", "x" * 70_000, "1234-5678-9012-3456"):
+        assert not secrets.random_spans(known, enc), known
+
+
 # --- exact dedup -------------------------------------------------------------
 
 

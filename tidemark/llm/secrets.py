@@ -1,10 +1,15 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
 A vocabulary learned from text spells words in few tokens and random strings in
-many. Runs of 20 or more characters of a key alphabet that mix letters and
-digits are encoded by a tiktoken vocabulary; fewer than `most_ratio` characters
-per token mark a secret, unless the run is a known digest or identifier: hex of
-a digest's length, a UUID, a number, a date, words joined by marks, a path.
+many. Runs of a key alphabet are encoded by a tiktoken vocabulary; fewer than
+`most_ratio` characters per token mark a secret. Runs of 20 or more characters
+that mix letters and digits are scored whole, unless the run is a known digest or
+identifier: hex of a digest's length, a UUID, a number, a date, words joined by
+marks, a path. What that leaves is scored by its words, the pieces between marks:
+neighbouring words of 16 or more characters together that take more tokens than
+the ratio allows are a secret, whatever stands before or after them in the run.
+Digests, UUIDs and numbers don't count there, nor do words of one or two
+characters, which any vocabulary has.
 
 Defined results: a null text is empty; overlapping spans of different kinds are
 all reported; repeated rows get equal answers; other columns are ignored; an
@@ -30,7 +35,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # of 18 characters or more: the same
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KNOWN = re.compile(
     r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
@@ -38,6 +42,13 @@ KNOWN = re.compile(
     r"|(?:[A-Za-z]+[0-9]{0,4}[/_=+-]+)*[A-Za-z]+[0-9]{0,4}=*"
 )
 MOST_RATIO = 2.2
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+WHOLE = 20
+LEAST = 16
+#: A known digest or UUID within a run, or a word that tells something.
+PIECE = re.compile(r"(?<![A-Za-z0-9])(?:([0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9]{8}T[0-9]{6}Z?)|(?![0-9]+(?![A-Za-z0-9]))[A-Za-z0-9]{3,})(?![A-Za-z0-9])")
+LEAST_DISTINCT = 6  # characters; a random string of LEAST has more, a filler has fewer
+LONG = 256  # a word is encoded in slices of so many characters, since encoding grows faster than a word
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_random", pa.int64())])
 _ENCODINGS: dict = {}
@@ -68,12 +79,40 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def random_words(run: str, enc, most_ratio: float) -> list[tuple[int, int]]:
+    """Start and end of neighbouring words in a run that together take more tokens than most_ratio allows."""
+    words = []  # start, end, tokens' worth less characters: above 0 if random
+    for m in PIECE.finditer(run):
+        word = m[0]
+        tokens = sum(len(enc.encode_ordinary(word[at : at + LONG])) for at in range(0, len(word), LONG))
+        words.append((*m.span(), float("-inf") if m[1] else most_ratio * tokens - len(word)))
+    found, at = [], 0
+    while at < len(words):
+        total, best, end = 0.0, 0.0, None
+        for i in range(at, len(words)):
+            total += words[i][2]
+            if total <= 0:
+                break
+            if total > best:
+                best, end = total, i
+        if end is None:
+            at += 1
+            continue
+        start, stop = words[at][0], words[end][1]
+        if stop - start >= LEAST and len(set(run[start:stop])) >= LEAST_DISTINCT:
+            found.append((start, stop))
+        at = end + 1
+    return found
+
+
 def random_spans(text: str, enc, most_ratio: float = MOST_RATIO) -> list[tuple[str, int, int]]:
     found = []
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not KNOWN.fullmatch(run) and len(run) < most_ratio * len(enc.encode_ordinary(run)):
+    for m in RUN.finditer(text):
+        run, start = m[0], m.start()
+        if len(run) >= WHOLE and any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not KNOWN.fullmatch(run) and len(run) < most_ratio * len(enc.encode_ordinary(run)):
             found.append(("random", *m.span()))
+        else:
+            found += [("random", start + a, start + b) for a, b in random_words(run, enc, most_ratio)]
     return found
 
 
