@@ -430,6 +430,18 @@ def test_simhash_groups(spark, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
 
 
+def test_one_row_of_each_group_stays_with_or_without_an_id(spark):
+    rng = random.Random(12)
+    texts = [" ".join(words(rng, 60)) for _ in range(7)]
+    near = next(t for i in range(60) for c in range(20) if (t := " ".join(w if j != i else f"z{c}" for j, w in enumerate(texts[6].split()))) and 0 < (plain_fingerprint(t) ^ plain_fingerprint(texts[6])).bit_count() <= 2)
+    table = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (None, texts[2]), (8, texts[3]), (8, texts[4]), (3, texts[4]), (9, texts[5]), (9, texts[5]), (None, texts[6]), (10, near)]
+    kept = simhash.dedup_documents(frame(spark, [(i, t, "en", "s") for i, t in table]))
+    expected = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[3]), (3, texts[4]), (9, texts[5]), (10, near)]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(expected)
+    groups = simhash.near_groups(frame(spark, [(i, t, "en", "s") for i, t in table if i != 8]))
+    assert Counter((r.doc_id, r.component_id) for r in groups.collect()) == Counter([(None, None)] * 3 + [(7, 7), (None, 7), (3, 3), (9, 9), (9, 9), (None, 10), (10, 10)])
+
+
 def test_links_connect_what_brute_force_connects(spark):
     rng = random.Random(4)
     prints = {rng.getrandbits(64) for _ in range(200)}

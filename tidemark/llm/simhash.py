@@ -16,9 +16,12 @@ fewer than its fingerprints. Components come from rounds of minimum labels with
 pointer jumping over written tables.
 
 Defined results: a null or wordless text has fingerprint 0 and is linked like
-any other; rows that repeat a doc_id are one document if their texts agree, and
-link what they touch otherwise; a null doc_id takes part in no component id but
-gets its group's; other columns are ignored; an empty table gives an empty result.
+any other; in groups, rows that repeat a doc_id are one document if their texts
+agree, and link what they touch otherwise; a row without doc_id links what it
+touches and gets its group's component id, the smallest doc_id, or null where the
+group has none. Deduplication groups by texts alone: one row of each group stays,
+that with the smallest doc_id, one without only where the group has none. Other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ LEAST_SHARED = BYTES - MOST_BITS
 FREE = list(combinations(range(BYTES), BYTES - LEAST_SHARED))  # the byte positions that a posting leaves open
 FEW = 64  # up to so many fingerprints a posting's pairs are compared directly
 
-FINGERPRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+FINGERPRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("key", pa.string())])
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -59,15 +62,15 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, fp, the fingerprint as a signed long, and key, a digest of the text."""
     prepare(docs.sparkSession)
 
     def run(batches):
         for batch in slices(batches):
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps)], schema=FINGERPRINT)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps), batch.column(2).cast(pa.string())], schema=FINGERPRINT)
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.md5(text_or_empty()).alias("key")).mapInArrow(run, "doc_id long, fp long, key string")
 
 
 def free_mask(posting: int) -> int:
@@ -167,20 +170,26 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of docs."""
-    prints = written(fingerprints(docs), "fingerprints")
-    nodes = written(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    prints = written(fingerprints(docs).drop("key"), "fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")).withColumn("node", F.col("fp")), "nodes")
     same_id = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    again = same_id.select("doc_id").join(prints, "doc_id").join(nodes, "fp").groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all"))
-    repeats = again.select("a", F.explode("all").alias("b"))
+    repeats = same_id.select("doc_id", F.col("lo").alias("a")).join(prints, "doc_id").select("a", F.col("fp").alias("b")).distinct()
     labels = components(links(nodes).union(repeats))
-    named = written(nodes.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id")), "named")
+    labelled = written(nodes.join(labels, "node", "left").select("fp", "least_id", F.coalesce("label", "node").alias("label")), "labelled")
+    ids = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    named = written(labelled.join(ids, "label").select("fp", "component_id"), "named")
     # read from tables and shuffled by this join alone: adaptive execution can split a hot fingerprint
     out = prints.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the smallest doc_id, with the columns it came with."""
-    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
-    stays = wrapped(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return stays.withColumn("doc_id", F.col("row.doc_id")).dropDuplicates(["doc_id"]).select("row.*")
+    """One row of each group of linked texts, that with the smallest doc_id, with the columns it came with."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    nodes = written(fingerprints(docs).groupBy("fp").agg(F.min(row).alias("best")).withColumn("node", F.col("fp")), "nodes")
+    labels = components(links(nodes))
+    best = nodes.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("best").alias("best"))
+    kept = best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.key").alias("keep_key"))
+    keyed = wrapped(docs).withColumns({"doc_id": F.col("row.doc_id").cast("long"), "key": F.md5(text_or_empty("row.text"))})
+    stays = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key")), "left_semi")
+    return stays.dropDuplicates(["doc_id", "key"]).select("row.*")
