@@ -197,6 +197,21 @@ def test_document_forks_only_when_a_head_is_displaced(spark):
     assert {(r.name, r.forked, r.displaced) for r in c.report.collect()} == {("x", True, "mine"), ("y", False, None), ("z", False, None), ("v", False, None)}
 
 
+def test_index_states_of_every_source_equal_a_plain_fold(spark):
+    from tidemark import plans
+    from tidemark.functions.hashes import NO_STATE, fold_state
+    from tidemark.plans import derive
+
+    sf, expected, states = "/root/testdata/sf0.001", [], {}
+    for r in sorted(derive.archive(spark, sf).caller_rows.collect(), key=lambda r: (r.source_id, r.ts, r.ord)):
+        state, names = states.get(r.source_id, (NO_STATE, set()))
+        state = fold_state(state, [(r.ts, r.blob.encode())])
+        expected.append((r.source_id, r.stream, r.ts, r.ord, str(state[0]), str(state[1]), "delta" if r.stream in names else "full"))
+        states[r.source_id] = state, names | {r.stream}
+    assert len(states) == derive.SOURCES
+    assert times(plans.queries()["x4_index_states"](spark, sf), "source_id", "stream", "ts", "ord", "state_a", "state_b", "index_kind") == sorted(expected)
+
+
 def test_every_order_is_a_request(spark):
     from tidemark import plans
 

@@ -45,7 +45,7 @@ def x4(a):
 
 @on_archive("x4_index_states")
 def x4_states(a):
-    return replicate.with_states(a.caller_rows.where("source_id = 1"))
+    return replicate.with_states(a.caller_rows)
 
 
 @on_archive("x5_clock_offsets", f"SELECT * FROM clock_offsets WHERE ts > {CUT}")
