@@ -234,14 +234,15 @@ def library_ids(text, end):
 
 def test_token_files_round_trip(spark, rows, monkeypatch):
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    files = token_files.write_token_files(frame(spark, rows), file_rows=17)
+    files = token_files.write_token_files(frame(spark, rows), range_bytes=12_000, file_ids=3_000)
+    assert files.files.count() > 4
     got = sorted(collected(files.read()), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [r[0] for r in ordered]
     texts, at = {r[0]: r[1] for r in rows if r[0] is not None}, 0
     for r in got:
         ids = r["ids"]
         assert r["start"] == at and r["n_tokens"] == len(ids)
-        if r["doc_id"] is not None and len(texts[r["doc_id"]] or "") < 70_000:
+        if r["doc_id"] is not None:
             assert ids == library_ids(texts[r["doc_id"]], token_files.END_ID)
         at += len(ids)
     digests = {r["start"]: r for r in collected(files.digests())}
@@ -249,6 +250,29 @@ def test_token_files_round_trip(spark, rows, monkeypatch):
         assert digests[r["start"]]["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
 
 
+def test_ranges_split_rows_that_share_a_doc_id(spark):
+    rng = random.Random(6)
+    rows = [(None if i % 3 else 7, " ".join(words(rng, 20)) if i % 2 else "the same text", None, None) for i in range(400)]
+    files = token_files.write_token_files(frame(spark, rows), range_bytes=4_000, file_ids=1_000)
+    listed = collected(files.files.orderBy("nth"))
+    assert len(listed) >= 6 and max(r["docs"] for r in listed) < 200 and sum(r["docs"] for r in listed) == 400
+    got = sorted(collected(files.read()), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda d: d is not None)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == Counter((d, tuple(library_ids(t, token_files.END_ID))) for d, t, *_ in rows)
+
+
+def test_ids_of_very_long_texts(spark):
+    rng = random.Random(9)
+    long = " ".join(rng.choice(["naïve", "Word", "it's", "漢字", "x1y2", "end.", "a-b"]) + rng.choice(["", ",", "!?", "\n"]) for _ in range(180_000))
+    texts = [long, "y" * 200_000, None]
+    assert len(long) > 1_000_000
+    table = frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    ids = [library_ids(t, token_files.END_ID) for t in texts]
+    assert [r["ids"] for r in sorted(collected(token_files.write_token_files(table).read()), key=lambda r: r["start"])] == ids
+    pieces = sorted(collected(packing.pack(table, with_ids=True, end_id=token_files.END_ID)), key=lambda r: (r["doc_id"], r["start"]))
+    assert [[i for p in pieces if p["doc_id"] == d for i in p["ids"]] for d in range(3)] == ids
+
+
 def test_coding_of_ids():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
@@ -371,7 +395,7 @@ def test_packing_covers_every_id_once(spark, rows):
     longest_first = sorted(got, key=lambda r: r["sequence_id"])
     assert [r["length"] for r in longest_first] == sorted((r["length"] for r in got), reverse=True)
     for doc, text, *_ in rows:
-        if doc is not None and len(text or "") < 70_000:
+        if doc is not None:
             copies = sum(r[0] == doc for r in rows)
             pieces = sorted(by_doc[doc], key=lambda r: r["start"])
             ids = library_ids(text, packing.END_ID)

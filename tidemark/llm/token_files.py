@@ -12,18 +12,29 @@ A file holds the documents of one range of doc_id in ascending order::
       documents x (i64 doc_id, u8 null flag), documents x u32 ids of each
       control bytes, data bytes
 
-The rank table lies beside the files. File k holds smaller doc_ids than file
+The rank table lies beside the files. File k holds no greater doc_ids than file
 k+1; the totals of the files before it give a document's place in the whole.
 
+Ranges of doc_id are cut before the texts are tokenized: a sample drawn in
+proportion to the texts' bytes is split into equal parts. The key of a row is its
+doc_id, the hash of its text and a dealt number, so rows that share one doc_id, or
+have none, spread over ranges like any others. Within a range files are cut by
+ids, so a file holds `file_ids` and one document more at most, whatever the texts.
+The task that tokenizes also counts ids, so each text is read once for its length
+and once for its ids.
+
 Defined results: a null text is the empty text and holds the end id alone; a
-null doc_id sorts first; repeated rows are stored as often as they come; other
-columns are ignored; an empty table gives an empty result.
+null doc_id sorts first; rows that share a doc_id stand in the order of their
+texts' hashes; ids of equal frequency rank by id; repeated rows are stored as
+often as they come; a text of any length is encoded whole and stays in one file;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +42,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_batch, new_path, prepare, slices, text_or_empty, written
@@ -40,7 +52,10 @@ from .tokens import default_path, encoder
 MAGIC = b"TMTOK001"
 END_ID = 2
 BLOCK_IDS = 1 << 18
-FILE_ROWS = 16_000
+FILE_IDS = 1 << 25
+RANGE_BYTES = 32 << 20  # of text in a range of doc_id
+RANGE_SAMPLE = 64  # rows of the sample for each range
+SEED = 6
 
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)  # of the four ids of a control byte
 _RANKS: dict[str, np.ndarray] = {}
@@ -71,7 +86,7 @@ def decode_ids(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 @dataclass
 class TokenFiles:
-    """A written set: its folder, and a table (file, path, docs, tokens, start) with a row for each file."""
+    """A written set: its folder, and a table (nth, path, docs, tokens, start) with a row for each file."""
 
     spark: SparkSession
     folder: str
@@ -102,8 +117,8 @@ class TokenFiles:
                         yield arrow_batch({"doc_id": docs, "start": start + ends - counts, "n_tokens": counts, last.name: found}, schema)
                         start += int(ends[-1])
 
-        files = self.files.where("docs > 0").select("path", "start")
-        return files.repartition(max(1, self.files.count()), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, " + ("ids array<int>" if with_ids else "ids_crc32 long"))
+        files = self.files.repartitionById(max(1, self.files.count()), F.col("nth")).select("path", "start")
+        return files.mapInArrow(run, "doc_id long, start long, n_tokens long, " + ("ids array<int>" if with_ids else "ids_crc32 long"))
 
 
 def read_blocks(path: str):
@@ -158,64 +173,87 @@ def _block(docs: list, parts: list[np.ndarray], rank_of: np.ndarray) -> bytes:
     return b"".join([struct.pack("<III", len(docs), int(counts.sum()), len(data)), doc.tobytes(), null.tobytes(), counts.tobytes(), control, data])
 
 
-def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, file_rows: int = FILE_ROWS) -> TokenFiles:
+def _keyed(docs: DataFrame) -> DataFrame:
+    """text, and the key that orders rows: has_id, doc_id, tie, deal."""
+    text = text_or_empty()
+    deal = (F.rand(SEED) * (1 << 30)).cast("long")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("tie"), deal.alias("deal"))
+
+
+def range_bounds(keyed: DataFrame, range_bytes: int = RANGE_BYTES) -> list[tuple[bool, int, int, int]]:
+    """The least key of each range but the first; a key is (has an id, doc_id, tie, deal). A row for each range reaches the driver."""
+    size = keyed.select("doc_id", "tie", "deal", F.octet_length("text").cast("long").alias("bytes"))
+    total = size.agg(F.sum("bytes")).first()[0] or 0
+    ranges = -(-total // range_bytes)
+    if ranges <= 1:
+        return []
+    unit = range_bytes / RANGE_SAMPLE
+    drawn = F.floor(F.col("bytes") / unit + F.rand(SEED + 1)).cast("int")
+    keys = [F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie", "deal"]
+    sample = written(size.where(drawn > 0).select(*keys, drawn.alias("times")), "range-sample")
+    sample = sample.withColumn("_", F.explode(F.sequence(F.lit(1), "times")))
+    key = F.struct("has_id", "doc_id", "tie", "deal")
+    cut = sample.repartitionByRange(int(ranges), "has_id", "doc_id", "tie", "deal").groupBy(F.spark_partition_id()).agg(F.min(key).alias("key"))
+    return sorted(tuple(r.key) for r in cut.collect())[1:]
+
+
+def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, range_bytes: int = RANGE_BYTES, file_ids: int = FILE_IDS) -> TokenFiles:
     """Encodes docs (doc_id, text) and writes the files; each text is tokenized once, into a table of packed ids."""
     spark = docs.sparkSession
     prepare(spark)
     folder, vocabulary = folder or new_path(spark, "token-files"), tokenizer or default_path()
+    keyed = _keyed(docs)
+    bounds = range_bounds(keyed, range_bytes)
 
     def tokenize(batches):
-        encode, pack = encoder(vocabulary).encode, _packer()
+        encode, pack, sums = encoder(vocabulary).encode, _packer(), np.zeros(0, np.int64)
+        schema = pa.schema([("file", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("packed", pa.binary()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
         for batch in slices(batches):
             parts = encode(batch.column(1), end_id)
-            yield arrow_batch({"doc_id": batch.column(0), "n": [len(p) for p in parts], "packed": [pack(p) for p in parts]}, pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())]))
-
-    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    tokens = written(texts.mapInArrow(tokenize, "doc_id long, n long, packed binary"), "token-ids", compression="none")
-
-    def count(batches):
-        sums = np.zeros(0, np.int64)
-        for batch in slices(batches):
-            for packed in batch.column(0).to_pylist():
-                found = np.bincount(unpack(packed), minlength=len(sums))
-                found[: len(sums)] += sums
-                sums = found
+            keys = zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True)
+            files = [bisect_right(bounds, (doc is not None, doc or 0, tie, deal)) for doc, tie, deal in keys]
+            found = np.bincount(np.concatenate(parts), minlength=len(sums))
+            found[: len(sums)] += sums
+            sums, none = found, [None] * len(parts)
+            yield arrow_batch({"file": files, "doc_id": batch.column(0), "tie": batch.column(2), "packed": [pack(p) for p in parts], "ids": none, "counts": none}, schema)
         at = np.nonzero(sums)[0]
-        yield arrow_batch({"id": at, "n": sums[at]}, pa.schema([("id", pa.int64()), ("n", pa.int64())]))
+        yield arrow_batch({"file": [None], "doc_id": [None], "tie": [None], "packed": [None], "ids": [at], "counts": [sums[at]]}, schema)
 
+    tokens = written(keyed.mapInArrow(tokenize, "file int, doc_id long, tie long, packed binary, ids array<long>, counts array<long>"), "token-ids", compression="none")
     # A row for each id of the vocabulary at most.
-    counted = tokens.select("packed").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toArrow()
-    id_of = counted.column("id").to_numpy().astype("<u4")
+    counts = tokens.where("ids IS NOT NULL").select(F.inline(F.arrays_zip("ids", "counts")))
+    counted = counts.groupBy("ids").agg(F.sum("counts").alias("n")).orderBy(F.desc("n"), "ids").toArrow()
+    id_of = counted.column("ids").to_numpy().astype("<u4")
     with create(f"{folder}/ranks") as out:
         out.write(id_of.tobytes())
 
     def encode(batches):
-        name, path = TaskContext.get().partitionId(), f"{folder}/part-{TaskContext.get().partitionId():06d}"
+        file, nth = TaskContext.get().partitionId(), 0
         id_of = _rank_table(f"{folder}/ranks")
         rank_of = np.zeros(int(id_of.max()) + 1 if len(id_of) else 1, np.uint32)
         rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
-        docs, parts, held, n_docs, n_tokens = [], [], 0, 0, 0
-        with create(path) as out:
-            out.write(MAGIC)
-            for batch in slices(batches):
-                for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    docs.append(doc)
-                    parts.append(unpack(packed))
-                    held += len(parts[-1])
-                    if held >= BLOCK_IDS:
-                        out.write(_block(docs, parts, rank_of))
-                        n_docs, n_tokens = n_docs + len(docs), n_tokens + held
-                        docs, parts, held = [], [], 0
-            if docs:
-                out.write(_block(docs, parts, rank_of))
-                n_docs, n_tokens = n_docs + len(docs), n_tokens + held
-        yield arrow_batch({"file": [name], "path": [path], "docs": [n_docs], "tokens": [n_tokens]}, pa.schema([("file", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
-
-    parts = max(1, -(-tokens.count() // file_rows))
-    ordered = tokens.select("doc_id", "packed").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "packed")
-    files = written(ordered.mapInArrow(encode, "file long, path string, docs long, tokens long"), "token-file-list")
+        rows = ((doc, unpack(packed)) for batch in slices(batches) for doc, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        row = next(rows, None)
+        while row is not None:
+            path, n_docs, n_ids = f"{folder}/part-{file:06d}-{nth:04d}", 0, 0
+            with create(path) as out:
+                out.write(MAGIC)
+                while row is not None and n_ids < file_ids:
+                    held, docs, parts = 0, [], []
+                    while row is not None and held < BLOCK_IDS:
+                        docs.append(row[0])
+                        parts.append(row[1])
+                        held += len(row[1])
+                        row = next(rows, None)
+                    out.write(_block(docs, parts, rank_of))
+                    n_docs, n_ids = n_docs + len(docs), n_ids + held
+            yield arrow_batch({"file": [file], "part": [nth], "path": [path], "docs": [n_docs], "tokens": [n_ids]}, pa.schema([("file", pa.int64()), ("part", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+            nth += 1
+
+    ordered = tokens.where("packed IS NOT NULL").repartitionById(len(bounds) + 1, F.col("file")).select("doc_id", "tie", "packed").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "packed")
+    files = written(ordered.mapInArrow(encode, "file long, part long, path string, docs long, tokens long"), "token-file-list")
     # A row for each file: their running total is small whatever the input.
-    from pyspark.sql import Window as W
-
-    start = F.coalesce(F.sum("tokens").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return TokenFiles(spark, folder, written(files.withColumn("start", start), "token-file-starts"))
+    line = W.orderBy("file", "part")
+    nth = (F.row_number().over(line) - 1).cast("int")
+    start = F.coalesce(F.sum("tokens").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return TokenFiles(spark, folder, written(files.select(nth.alias("nth"), "path", "docs", "tokens", start.alias("start")), "token-file-starts"))
