@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -14,7 +15,7 @@ import pytest
 import xxhash
 
 from tidemark.llm import exact_dedup, language, licenses, mixing, packing, quality, secrets, simhash, token_files
-from tidemark.llm.tokens import default_path
+from tidemark.llm.tokens import default_path, encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, digest string, seq long, task long, key string, fp long, component_id long, target double, label string, score double, packed string, _id long, taken long, words string, kept string"
@@ -226,10 +227,15 @@ def test_the_index_persists(spark, tmp_path):
 # --- token files -------------------------------------------------------------
 
 
-def library_ids(text, end):
+@cache
+def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(default_path()).encode(text or "", add_special_tokens=False).ids + [end]
+    return Tokenizer.from_file(default_path())
+
+
+def library_ids(text, end):
+    return library().encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def test_token_files_round_trip(spark, rows, monkeypatch):
@@ -273,6 +279,14 @@ def test_ids_of_very_long_texts(spark):
     assert [[i for p in pieces if p["doc_id"] == d for i in p["ids"]] for d in range(3)] == ids
 
 
+def test_ids_of_odd_texts_equal_the_library():
+    rng = random.Random(21)
+    parts = ["a", "It", "'s", "'S", "J\u030c", "j\u030c", "É", "E\u0301", "İ", "I\u0307", "ß", "ẞ", "Ω", "Σ", "ς", "K", "Å", "A\u030a", "—", "’", "’s", ".", ",", "!?", "<|", "|>", "<", ">", "=\u0338", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\u2028", "\x00", "\x1f", "1", "½", "٣", "漢", "🎉", "ǅ", "ŉ", "_", "$$$", "&&", "word", "Straße", "naïve"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 25))) for _ in range(4000)] + ["word." * 500, "a. b. c", "end.", ""]
+    found = encoder(default_path()).encode(texts, 2)
+    assert [x.tolist() for x in found] == [library_ids(t, 2) for t in texts]
+
+
 def test_coding_of_ids():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):

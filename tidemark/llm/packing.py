@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_batch, prepare, slices, text_or_empty, written
-from .tokens import default_path, encoder
+from .tokens import SLICE_BYTES, SLICE_ROWS, default_path, encoder
 
 LONGEST = 2048
 END_ID = 1
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST
 
     def cut(batches):
         task, seen, encode = TaskContext.get().partitionId(), defaultdict(int), encoder(path).encode
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_ROWS, SLICE_BYTES):
             rows = {f.name: [] for f in schema}
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1), end_id), strict=True):
                 raw, at = memoryview(ids.astype("<u4").tobytes()), 0

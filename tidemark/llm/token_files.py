@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batch, new_path, prepare, slices, text_or_empty, written
 from .store import create, open_ranges
-from .tokens import default_path, encoder
+from .tokens import SLICE_BYTES, SLICE_ROWS, default_path, encoder
 
 MAGIC = b"TMTOK001"
 END_ID = 2
@@ -207,23 +207,23 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
 
     def tokenize(batches):
         encode, pack, sums = encoder(vocabulary).encode, _packer(), np.zeros(0, np.int64)
-        schema = pa.schema([("file", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("packed", pa.binary()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
-        for batch in slices(batches):
+        schema = pa.schema([("file", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("packed", pa.binary()), ("id", pa.int64()), ("n", pa.int64())])
+        for batch in slices(batches, SLICE_ROWS, SLICE_BYTES):
             parts = encode(batch.column(1), end_id)
             keys = zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True)
             files = [bisect_right(bounds, (doc is not None, doc or 0, tie, deal)) for doc, tie, deal in keys]
             found = np.bincount(np.concatenate(parts), minlength=len(sums))
             found[: len(sums)] += sums
             sums, none = found, [None] * len(parts)
-            yield arrow_batch({"file": files, "doc_id": batch.column(0), "tie": batch.column(2), "packed": [pack(p) for p in parts], "ids": none, "counts": none}, schema)
+            yield arrow_batch({"file": files, "doc_id": batch.column(0), "tie": batch.column(2), "packed": [pack(p) for p in parts], "id": none, "n": none}, schema)
         at = np.nonzero(sums)[0]
-        yield arrow_batch({"file": [None], "doc_id": [None], "tie": [None], "packed": [None], "ids": [at], "counts": [sums[at]]}, schema)
+        none = [None] * len(at)
+        yield arrow_batch({"file": none, "doc_id": none, "tie": none, "packed": none, "id": at, "n": sums[at]}, schema)
 
-    tokens = written(keyed.mapInArrow(tokenize, "file int, doc_id long, tie long, packed binary, ids array<long>, counts array<long>"), "token-ids", compression="none")
+    tokens = written(keyed.mapInArrow(tokenize, "file int, doc_id long, tie long, packed binary, id long, n long"), "token-ids", compression="none")
     # A row for each id of the vocabulary at most.
-    counts = tokens.where("ids IS NOT NULL").select(F.inline(F.arrays_zip("ids", "counts")))
-    counted = counts.groupBy("ids").agg(F.sum("counts").alias("n")).orderBy(F.desc("n"), "ids").toArrow()
-    id_of = counted.column("ids").to_numpy().astype("<u4")
+    counted = tokens.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toArrow()
+    id_of = counted.column("id").to_numpy().astype("<u4")
     with create(f"{folder}/ranks") as out:
         out.write(id_of.tobytes())
 

@@ -6,6 +6,11 @@ before costs one dictionary look-up. A new word of printable Latin-1 characters
 is cut into the tokenizer's pieces here and only unseen pieces go through its
 BPE model; any other word goes through the tokenizer as a whole. Both give the
 ids that the library gives for the whole text.
+
+Texts without special tokens or code points that NFC could join or that have no
+simple lower case are first lower-cased, and marks at a word's end cut off: a run
+of marks between a letter and white space is one piece of the tokenizer's
+pattern. That leaves fewer distinct words.
 """
 
 from __future__ import annotations
@@ -22,8 +27,11 @@ import regex
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]*")
 SPECIAL = "<|"
+ODD = r"<\||\x{130}|[\x{300}-\x{1FFF}\x{20D0}-\x{10FFFF}]"  # special tokens, the dotted I, combining marks and whatever else isn't Latin or a mark
+END_MARKS = r"([a-z])([!-&(-/:-=?@\[-`{-~]+)([ \n]|$)"  # not the apostrophe, which contractions have, nor >, which ends special tokens
 
-LIMIT = 450_000  # words kept at some 200 bytes each; pieces: half as many
+LIMIT = 300_000  # words kept at some 200 bytes each; pieces: half as many
+SLICE_ROWS, SLICE_BYTES = 512, 2 << 20  # what a call should bring at most: its copies of the texts and their word numbers take some 20 times that
 
 _ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
 
@@ -72,14 +80,18 @@ class WordEncoder:
     def _piece(self, piece: str) -> array:
         ids = self.pieces.get(piece)
         if ids is None:
-            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
-            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(spelled)])
+            ids = self.pieces[piece] = self._spelled(piece)
         return ids
 
+    def _spelled(self, piece: str) -> array:
+        """The ids of a lower-case piece of printable Latin-1."""
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(spelled)])
+
     def _word(self, word: str) -> array:
         """The word's ids. ASCII control characters and everything beyond Latin-1 are left to the library."""
-        if word.isalpha() and word.isascii():
-            return self._piece(word.lower())
+        if word.isascii() and word.isalpha() and word.islower():
+            return self._spelled(word)
         if SPECIAL in word or not PLAIN.fullmatch(word):
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids)
         low = word.lower()
@@ -115,6 +127,8 @@ class WordEncoder:
         Python work once for each call.
         """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        plain = pc.replace_substring_regex(pc.utf8_lower(texts), END_MARKS, r"\1 \2\3")
+        texts = pc.if_else(pc.match_substring_regex(texts, ODD), texts, plain)
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = cut.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
