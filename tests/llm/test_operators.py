@@ -201,8 +201,12 @@ def test_exact_groups(spark, rows):
     for bare, members in groups.items():
         points = max(n for _, n in members)
         keep = min((d for d, n in members if n == points and d is not None), default=None)
-        for doc, n in members:
-            expected[doc, keep, len(members), doc == keep and n == points, hashlib.sha256(bare.encode()).hexdigest()] += 1
+        digest = hashlib.sha256(bare.encode()).hexdigest()
+        for doc, _ in members:
+            expected[doc, keep, len(members), False, digest] += 1
+        expected[keep, keep, len(members), False, digest] -= 1
+        expected[keep, keep, len(members), True, digest] += 1
+    expected = +expected
     got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], bytes(r["digest"]).hex()) for r in collected(exact_dedup.exact_groups(frame(spark, rows))))
     assert got == expected
     kept = exact_dedup.dedup_documents(frame(spark, rows))
@@ -217,13 +221,40 @@ def test_the_index_persists(spark, tmp_path):
     assert {r.doc_id for r in exact_dedup.exact_groups(first, path).collect() if r.kept} == {1, 2}
     got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_groups(second, path).collect()}  # a new index object opens what the first left
     assert got == {3: (3, True), 4: (1, False), 5: (6, False), 6: (6, True)}
-    again = {r.doc_id: r.kept for r in exact_dedup.exact_groups(frame(spark, [(9, "D", None, None), (8, "d", None, None)]), path).collect()}
-    assert again == {9: True, 8: False}
+    again = {r.doc_id: r.kept for r in exact_dedup.exact_groups(frame(spark, [(9, "D", None, None), (8, "d", None, None), (6, " d", None, None)]), path).collect()}
+    assert again == {9: True, 8: False, 6: False}
+    assert [r.doc_id for r in exact_dedup.dedup_documents(frame(spark, [(1, "a b", None, None), (10, "e", None, None), (11, "e", None, None)]), path).collect()] == [10]
     index = exact_dedup.DigestIndex(spark, path)
     plan = index.unseen(index.rows().select("digest"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+def test_of_equal_rows_one_stays(spark):
+    rows = [(7, "a b", None, None), (7, "a b", None, None), (7, "ab", None, None), (None, "c", None, None), (None, "c", None, None), (None, None, None, None), (None, "", None, None), (8, "a  b", "x", None), (8, "a  b", "y", None)]
+    got = collected(exact_dedup.exact_groups(frame(spark, rows)))
+    assert sorted((str(r["doc_id"]), r["kept"]) for r in got) == [("7", False)] * 3 + [("8", False), ("8", True)] + [("None", False)] * 2 + [("None", True)] * 2
+    assert sorted((str(r.doc_id), r.text or "") for r in exact_dedup.dedup_documents(frame(spark, rows)).collect()) == [("8", "a  b"), ("None", ""), ("None", "c")]
+
+
+def test_the_index_holds_under_other_settings(spark, tmp_path):
+    path = f"file://{tmp_path}/it's an index"
+    table = frame(spark, [(i, f"text {i}", None, None) for i in range(300)])
+    before = len(spark.catalog.listTables())
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert exact_dedup.exact_groups(table, path).where("kept").count() == 300
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        assert exact_dedup.exact_groups(table, path).where("kept").count() == 0
+        assert exact_dedup.dedup_documents(table, path).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    exact_dedup.exact_groups(frame(spark, [(900, "more", None, None)]), path)
+    with exact_dedup.DigestIndex(spark, path) as index, index.compacted(path + "-2") as other:
+        assert other.buckets == 8 and other.rows().count() == 301 and other.rows().exceptAll(index.rows()).count() == 0
+    assert len(spark.catalog.listTables()) == before
+
+
 # --- token files -------------------------------------------------------------
 
 

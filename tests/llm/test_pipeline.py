@@ -72,6 +72,16 @@ def test_run_ends_in_pieces(spark):
     assert out.columns[:2] == ["doc_id", "start"] and out.count() > 0
 
 
+def test_exact_dedup_sql_on_repeated_ids(spark, tmp_path):
+    rows = [(7, "a b"), (7, "a b"), (7, "ab"), (8, "a  b"), (8, "a b"), (None, "c"), (9, "c"), (None, None), (None, ""), (3, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    rel = con.sql(ORACLES["op4_exact_dedup"])
+    got = QUERIES["op4_exact_dedup"](spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rel.fetchall()))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()

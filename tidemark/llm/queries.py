@@ -106,7 +106,7 @@ WITH t AS (
          sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS h
   FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h)::BIGINT AS group_size,
-       doc_id = first_value(doc_id) OVER w AS kept, h AS text_sha256
+       row_number() OVER w = 1 AS kept, h AS text_sha256
 FROM t WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 """
 
