@@ -156,11 +156,20 @@ seats AS (
   SELECT r.source, r.shard, row_number() OVER (PARTITION BY r.shard ORDER BY r.t / (2 * r.k + 1) DESC, r.source NULLS LAST, r.k) AS rank, r.t, o.open_
   FROM ranked r JOIN open_seats o ON r.shard = o.shard),
 won AS (SELECT source, shard, count(*) AS won FROM seats WHERE rank <= open_ AND t > 0 GROUP BY source, shard),
-quota AS (
+blocked AS (
   SELECT c.source, c.shard, c.words, c.source_size, c.target,
          least((coalesce(b.sure, 0) + coalesce(w.won, 0)) * {mixing.BLOCK_WORDS}, {mixing.CAP} * c.words)::BIGINT AS demand
   FROM cells c LEFT JOIN bounds b ON c.shard = b.shard AND c.source IS NOT DISTINCT FROM b.source
   LEFT JOIN won w ON c.shard = w.shard AND c.source IS NOT DISTINCT FROM w.source),
+residues AS (
+  SELECT *, floor(target + 0.5)::BIGINT - sum(demand) OVER (PARTITION BY source) AS left_, {mixing.CAP} * words - demand AS room,
+         coalesce(sum({mixing.CAP} * words - demand) OVER (PARTITION BY source ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room_before,
+         coalesce(sum(demand) OVER (PARTITION BY source ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held_before
+  FROM blocked),
+quota AS (
+  SELECT source, shard, words, source_size, target,
+         (demand + greatest(0, least(room, left_ - room_before)) - greatest(0, least(demand, -left_ - held_before)))::BIGINT AS demand
+  FROM residues),
 placed AS (
   SELECT d.*, q.words, q.demand, q.source_size, q.target, CASE WHEN q.words > 0 THEN q.demand // q.words ELSE 0 END AS times,
          coalesce(sum(d.size) OVER (PARTITION BY d.source, d.shard ORDER BY d.key, d.doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_
