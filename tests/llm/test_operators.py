@@ -11,6 +11,7 @@ from functools import cache
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -562,6 +563,53 @@ def test_links_connect_what_brute_force_connects(spark):
     assert {n: labels.get(n, n) for n, _ in nodes} == expected
 
 
+def test_open_positions_cover_every_two_bytes():
+    assert len(simhash.OPEN) == 11
+    assert all(any({a, b} <= set(o) for o in simhash.OPEN) for a, b in combinations(range(8), 2))
+
+
+def test_tallies_are_those_of_all_pairs():
+    rng = random.Random(14)
+    base = rng.getrandbits(64)
+    fps = np.array(sorted({base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(300)} | {rng.getrandbits(64) for _ in range(50)}), np.uint64)
+    expected = [(i, j) for i, j in combinations(range(len(fps)), 2) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 2]
+    assert sorted(simhash.tallied(fps)) == expected
+    values = np.array(sorted(rng.sample(range(1 << 16), 900)), np.uint16)
+    near = [(i, j) for i, j in combinations(range(len(values)), 2) if (int(values[i]) ^ int(values[j])).bit_count() <= 2]
+    assert sorted(map(tuple, simhash.looked_up(values))) == near
+
+
+@pytest.mark.parametrize("most", [4, 50])
+def test_crowded_postings_lose_no_link(spark, most):
+    rng = random.Random(15)
+    base = rng.getrandbits(64) & ~0xFFFFFF
+    fps = sorted({base ^ rng.getrandbits(10) for _ in range(400)} | {rng.getrandbits(64) for _ in range(100)} | {base ^ (rng.getrandbits(6) << 40) for _ in range(60)})
+    nodes = list(enumerate(fps))
+    frame_ = spark.createDataFrame([(n, simhash.signed(f)) for n, f in nodes], "node long, fp long").repartition(3)
+    labels = {r.node: r.label for r in simhash.components(simhash.links(frame_, most)).collect()}
+    assert {n: labels.get(n, n) for n, _ in nodes} == plain_components(nodes)
+
+
+def test_postings_come_whole_or_are_told_apart():
+    rng = random.Random(16)
+    sizes = [1, 2, 3, 1, 1, 9, 2, 30, 1, 5, 12, 1]
+    rows = [(i, i, 0, k) for i, k in enumerate(k for k, n in enumerate(sizes) for _ in range(n))]
+    schema = pa.schema([(c, pa.int64()) for c in ("node", "fp", "posting", "shared")])
+    for _ in range(300):
+        cuts = [0, *sorted(rng.choices(range(len(rows) + 1), k=rng.randrange(8))), len(rows)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a:b]], pa.int64()) for c in range(4)], schema=schema) for a, b in zip(cuts, cuts[1:], strict=False)]
+        got = list(simhash._postings(batches, 8))
+        held = defaultdict(list)
+        for part, whole in got:
+            assert len(set(part[:, 3].tolist())) == 1
+            held[int(part[0, 3])].append((len(part), whole))
+        for k, n in enumerate(sizes):
+            if n > 8:
+                assert sum(m for m, _ in held[k]) == n and not any(w for _, w in held[k])
+            elif n > 1:
+                assert held[k] == [(n, True)]
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     order = list(range(n))
