@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -342,6 +343,73 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+class PlainBayes:
+    """Multinomial naive Bayes over hashed n-grams, one n-gram after another. labelled: (text, lang)."""
+
+    def __init__(self, labelled):
+        self.counts, self.docs = defaultdict(Counter), Counter()
+        for text, lang in labelled:
+            grams = self.grams(text)
+            if lang not in (None, "und") and grams:
+                self.counts[lang].update(grams)
+                self.docs[lang] += 1
+
+    @staticmethod
+    def grams(text):
+        low = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "")
+        if not low.strip(" "):
+            return []
+        codes = [0 if c == " " else ord(c) for c in " " + re.sub(" +", " ", low.strip(" ")) + " "]
+        hashed = []
+        for n in (1, 2, 3):
+            for i in range(len(codes) - n + 1):
+                value = 0
+                for c in codes[i : i + n]:
+                    value = value * 0x110000 + c
+                hashed.append((value + n) * 0x9E3779B97F4A7C15 % 2**64 >> 48)
+        return hashed
+
+    def answer(self, text):
+        """Language, posterior, gain."""
+        grams = self.grams(text)
+        if not grams or not self.docs:
+            return "und", 0.0, 0.0
+        total, every = {}, sum(n + 1 for n in self.docs.values())
+        for lang in sorted(self.docs):
+            size = sum(self.counts[lang].values()) + 0.5 * 65536
+            total[lang] = math.log((self.docs[lang] + 1) / every) + sum(math.log((self.counts[lang][g] + 0.5) / size) for g in grams)
+        best = max(sorted(total), key=total.get)
+        prior = math.log((self.docs[best] + 1) / every)
+        return best, 1 / sum(math.exp(v - total[best]) for v in total.values()), (total[best] - prior) / len(grams) + math.log(65536)
+
+
+def test_language_is_that_of_plain_naive_bayes(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(150).collect()
+    table = [(r.doc_id, r.text, r.lang, None) for r in docs] + [(900, "ab", None, None), (901, None, "en", None), (902, "É à ü", "fr", None), (903, "漢字かな交じり文は日本語の文章です。" * 3, "und", None), (904, "x" * 100_000, None, None), (905, "12", "en", None)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    plain = PlainBayes((t, lang) for d, t, lang, _ in table if not held(d))
+    got = {r["doc_id"]: r for r in collected(language.identify(frame(spark, table)))}
+    answers = {d: plain.answer(t) for d, t, *_ in table}
+    for d, (lang, score, _) in answers.items():
+        assert got[d]["held_out"] == held(d) and got[d]["lang_pred"] == lang and got[d]["score"] == pytest.approx(score, abs=1e-3), d
+    kept = {r.doc_id for r in language.known_documents(frame(spark, table)).collect()}
+    assert kept == {d for d, (lang, score, gain) in answers.items() if lang != "und" and score >= 0.5 and gain >= language.LEAST_GAIN}
+    assert 903 not in kept and len(kept) > 100
+    english = {r.doc_id for r in language.known_documents(frame(spark, table), wanted=["en"]).collect()}
+    assert english == {d for d in kept if answers[d][0] == "en"}
+    model = language.Model(["a", "b"], np.random.default_rng(0).normal(size=(language.FEATURES, 2)).astype(np.float32), np.zeros(2))
+    whole = model.score([r[1] for r in table])
+    monkeypatch.setattr(language, "CHUNK", 64)
+    parts = model.score([r[1] for r in table])
+    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1]) and np.allclose(whole[2], parts[2])
+
+
+def test_labels_are_bounded(spark):
+    table = [(i, "the cat", "en" if i % 2 else f"dirty {i}", None) for i in range(60)] + [(100 + i, "le chat", "fr", None) for i in range(20)]
+    model = language.fit(frame(spark, table).select("doc_id", "text", "lang"), most_labels=2)
+    assert model.languages == ["en", "fr"]
+
+
 def test_language_of_odd_texts(spark):
     docs = [(i, t, lang, None) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("the house of the king", "en"), ("la maison du roi", "fr")] * 5)]
     docs += [(100, None, None, None), (101, "123 -- !!", None, None), (102, "", None, None), (103, "É", None, None), (None, "the the the", None, None)]
@@ -352,6 +420,7 @@ def test_language_of_odd_texts(spark):
     assert kept.columns == frame(spark, []).columns and {100, 101, 102}.isdisjoint(r.doc_id for r in kept.collect())
     nothing = language.identify(frame(spark, [(1, "words", None, None)])).collect()
     assert nothing[0].lang_pred == "und"
+    assert language.known_documents(frame(spark, [(1, "words", None, None)])).count() == 1
 
 
 # --- mixing ------------------------------------------------------------------

@@ -2,36 +2,46 @@
 
 Texts are lower-cased, runs of other than letters become one space, and every
 run of 1 to 3 characters is hashed to one of 2^16 features. The matrix of log
-probabilities (languages x features) is broadcast; its size is fixed by the
-number of languages, 256 KB each. Batches are scored in numpy by gathering the
-rows of the features that a text has.
+probabilities (features x languages) is broadcast: 256 KB a language, for the
+`most_labels` most frequent labels at most. Texts are scored in sparse batches: the
+features of many texts stand one after another with the texts' bounds, the matrix's
+rows are gathered for a chunk of them and summed from bound to bound.
 
 Fitting uses at most about `fit_rows` labelled documents, chosen by a hash of
 doc_id; scoring reads every whole text. A text that is null or has no letter is
-`und` with score 0. The score is the posterior probability of the language.
-
-Defined results: rows without a language are never learned from; a null doc_id
-hashes as the empty text; repeated rows get equal answers; other columns are
-ignored; with nothing to learn from, every answer is `und`; an empty table gives
-an empty result.
+`und` with score 0. The score is the posterior probability of the language; gain is
+how much better than even odds for all features the language explains an n-gram, in
+nats. Clean texts of a learned language gain 3.6 and more on the documents at hand,
+random letters and other scripts less than 0, random words less than 1.
+
+Defined results: rows without a language, or whose language is `und`, are never
+learned from; labels of equal frequency go by name; of equal scores the first
+language by name is taken; a null doc_id hashes as the empty text; repeated rows get
+equal answers; a text of any length is read whole, in chunks; other columns are
+ignored; with nothing to learn from, every answer is `und`, and the stage keeps all
+documents; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import arrow_batch, prepare, slices
+from .common import arrow_batch, prepare, slices, wrapped
 
 FEATURES = 1 << 16
 LONGEST = 3
 FIT_ROWS = 20_000
 SMOOTHING = 0.5
+MOST_LABELS = 256
+LEAST_SCORE = 0.5
+LEAST_GAIN = 1.0
+CHUNK = 1 << 20  # numbers that are gathered at a time
 UNKNOWN = "und"
 
 _UNSEEN = 0xFFFFFFFF
@@ -48,20 +58,29 @@ def letters(codes: np.ndarray) -> np.ndarray:
     return found
 
 
-def features(text: str | None) -> np.ndarray | None:
-    """The hashed n-grams of a text, or None if it has no letter."""
-    if not text:
-        return None
-    codes = letters(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"))
-    if not codes.any():
-        return None
-    codes = np.concatenate([[0], codes, [0]]).astype(np.uint64)
-    codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
-    found, gram = [], np.zeros(len(codes), np.uint64)
+def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed n-grams of all texts, one text after another, and where each text's end; a text without letters has none."""
+    codes, sizes = [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        own = letters(np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4"))
+        if own.any():
+            own = np.concatenate([[0], own, [0]])
+            own = own[np.concatenate([[True], (own[1:] != 0) | (own[:-1] != 0)])]
+            codes.append(own)
+            sizes[i] = len(own)
+    if not codes:
+        return np.zeros(0, np.int32), sizes
+    joined, ends = np.concatenate(codes).astype(np.uint64), np.cumsum(sizes)
+    to_end = np.repeat(ends, sizes) - np.arange(len(joined))  # characters from here to the end of the text
+    found, place, gram = [], [], np.zeros(len(joined), np.uint64)
     for n in range(1, LONGEST + 1):
-        gram = gram[: len(codes) - n + 1] * np.uint64(0x110000) + codes[n - 1 :]
-        found.append((gram + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48))
-    return np.concatenate(found).astype(np.int32)
+        gram = gram[: len(joined) - n + 1] * np.uint64(0x110000) + joined[n - 1 :]
+        inside = np.nonzero(to_end[: len(gram)] >= n)[0]
+        found.append(((gram[inside] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int32))
+        place.append(inside)
+    order = np.argsort(np.repeat(np.arange(len(texts)), sizes)[np.concatenate(place)], kind="stable")
+    grams = sum(np.maximum(sizes - n, 0) for n in range(LONGEST))
+    return np.concatenate(found)[order], np.cumsum(grams)
 
 
 @dataclass
@@ -72,33 +91,50 @@ class Model:
     weights: np.ndarray
     priors: np.ndarray
 
-    def score(self, text: str | None) -> tuple[str, float]:
-        found = features(text) if self.languages else None
-        if found is None:
-            return UNKNOWN, 0.0
-        total = self.priors.copy()
-        for at in range(0, len(found), 1 << 16):
-            total += self.weights[found[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
-
-
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """labelled: doc_id, text, lang. Counts are summed by Spark; languages x features numbers at most reach the driver."""
+    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, posterior and gain of each text."""
+        said, score, gain = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        if not self.languages:
+            return said, score, gain
+        found, ends = features(texts)
+        begins = np.concatenate([[0], ends[:-1]])
+        held = np.nonzero(ends > begins)[0]
+        total = np.tile(self.priors, (len(held), 1))
+        step = max(1, CHUNK // len(self.languages))
+        for at in range(0, len(found), step):
+            # the texts that have features in this chunk, and where each one's begin in it
+            first, last = np.searchsorted(ends[held], at, "right"), np.searchsorted(begins[held], at + step, "left")
+            starts = np.maximum(begins[held[first:last]] - at, 0)
+            total[first:last] += np.add.reduceat(self.weights[found[at : at + step]], starts, axis=0, dtype=np.float64)
+        best = total.argmax(axis=1)
+        top = total[np.arange(len(held)), best]
+        score[held] = 1 / np.exp(total - top[:, None]).sum(axis=1)
+        gain[held] = (top - self.priors[best]) / (ends - begins)[held] + np.log(FEATURES)
+        for i, k in zip(held.tolist(), best.tolist(), strict=True):
+            said[i] = self.languages[k]
+        return said, score, gain
+
+
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, most_labels: int = MOST_LABELS) -> Model:
+    """labelled: doc_id, text, lang. Counts are summed by Spark; most_labels x features numbers at most reach the driver."""
     prepare(labelled.sparkSession)
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    n = labelled.count()
-    if n > fit_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
+    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("lang") != UNKNOWN)
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    labels = [r.lang for r in counts.orderBy(F.desc("n"), "lang").limit(most_labels).collect()]
+    labelled = labelled.where(F.col("lang").isin(labels)) if labels else labelled.where("false")
+    if total > fit_rows:
+        labelled = labelled.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(fit_rows / total * (1 << 30)))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in slices(batches):
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = features(text)
-                if found is not None:
-                    counts = np.bincount(found, minlength=FEATURES)
+            langs, texts = (c.to_pylist() for c in batch.columns)
+            found, ends = features(texts)
+            for lang, b, e in zip(langs, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                if e > b:
+                    counts = np.bincount(found[b:e], minlength=FEATURES)
                     sums[lang] = sums[lang] + counts if lang in sums else counts
                     docs[lang] = docs.get(lang, 0) + 1
         for lang, counts in sums.items():
@@ -108,7 +144,8 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     counted = labelled.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     langs, feature, n = (counted.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "feature", "n"))
     names = sorted(set(langs.tolist()))
-    place = np.array([names.index(x) for x in langs.tolist()], np.int64)
+    at = {name: i for i, name in enumerate(names)}
+    place = np.array([at[x] for x in langs.tolist()], np.int64)
     counts, docs = np.zeros((FEATURES, len(names))), np.ones(len(names))
     own = feature >= 0
     counts[feature[own], place[own]] = n[own]
@@ -121,31 +158,33 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with lang_pred and score after their columns."""
-    prepare(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predicted(spark: SparkSession, text: Column, model: Model) -> Column:
+    """lang_pred, score and gain of a text, as a struct; a function from Arrow to Arrow."""
+    prepare(spark)
+    sent = spark.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in slices(batches):
-            answers = [sent.value.score(t) for t in batch.column(at).to_pylist()]
-            extra = [pa.array([a for a, _ in answers], pa.string()), pa.array([s for _, s in answers], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "lang_pred", "score"])
+    def run(texts: pa.Array) -> pa.Array:
+        answers = [sent.value.score(part.column(0).to_pylist()) for part in slices([pa.record_batch([texts], ["text"])])]
+        said = [lang for langs, _, _ in answers for lang in langs]
+        score, gain = (np.concatenate([a[k] for a in answers]) if answers else np.zeros(0) for k in (1, 2))
+        return pa.StructArray.from_arrays([pa.array(said, pa.string()), pa.array(score, pa.float64()), pa.array(gain, pa.float64())], ["lang_pred", "score", "gain"])
 
-    return docs.mapInArrow(run, schema)
+    return F.arrow_udf(run, "lang_pred string, score double, gain double")(text)
 
 
-def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def identify(docs: DataFrame, fit_rows: int = FIT_ROWS, most_labels: int = MOST_LABELS) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from the documents that aren't held out."""
-    model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"), fit_rows)
-    return predict(docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")), model).drop("text")
-
-
-def known_documents(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The documents whose language is known, with the columns they came with."""
-    columns = docs.columns
-    model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"), fit_rows)
-    plain = docs.toDF(*[c if c == "text" else f"_{i}" for i, c in enumerate(columns)])
-    return predict(plain, model).where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score").toDF(*columns)
+    model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"), fit_rows, most_labels)
+    found = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), predicted(docs.sparkSession, F.col("text").cast("string"), model).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def known_documents(docs: DataFrame, wanted: Sequence[str] | None = None, least_score: float = LEAST_SCORE, least_gain: float = LEAST_GAIN, fit_rows: int = FIT_ROWS, most_labels: int = MOST_LABELS) -> DataFrame:
+    """The documents in one of the wanted languages (None: any learned one), told with least_score and least_gain or more, with the columns they came with."""
+    model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"), fit_rows, most_labels)
+    if not model.languages:
+        return docs
+    rows = wrapped(docs).withColumn("p", predicted(docs.sparkSession, F.col("row.text").cast("string"), model))
+    lang = F.col("p.lang_pred")
+    known = (lang != UNKNOWN) & (F.col("p.score") >= least_score) & (F.col("p.gain") >= least_gain)
+    return rows.where(known if wanted is None else known & lang.isin(list(wanted))).select("row.*")
