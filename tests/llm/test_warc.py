@@ -91,3 +91,21 @@ def test_empty_and_null_pages(spark):
 
 def test_signature_sizes():
     assert struct.calcsize("<5H3I2H") + 4 == warc.LOCAL_SIZE and struct.calcsize("<6H3I5H2I") + 4 == warc.CENTRAL_SIZE and struct.calcsize("<4H2IH") + 4 == warc.END_SIZE
+
+
+def test_packages_are_closed_by_size(spark):
+    rng = random.Random(3)
+    html = [None if i == 5 else "".join(rng.choices("abcdefghij<>", k=rng.choice([10, 500, 3000]))) for i in range(200)] + ["z" * 5_000_000]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(2)
+    listed = warc.write_packages(pages, package_bytes=20_000)
+    assert listed.count() > 8 and listed.agg({"records": "sum"}).first()[0] == len(html)
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read_packages(listed, with_payload=True).collect() if r.record_type == "response"}
+    assert got == {i: h or "" for i, h in enumerate(html)}
+
+
+def test_an_index_is_read_in_parts(monkeypatch):
+    file = warc.Bytes()
+    warc.write_package(file, ((i, "u", b"x" * (i % 300), None, False) for i in range(300)))
+    whole = [p for _, p in warc.read_package(file)]
+    monkeypatch.setattr(warc, "BLOCK_BYTES", 700)
+    assert [p for _, p in warc.read_package(file)] == whole == [b"x" * (i % 300) for i in range(300)]

@@ -5,8 +5,10 @@ A package holds two stored (uncompressed) members, as web archive collections do
 ``indexes/index.cdx``, a line ``page offset length type`` for each record, where
 offset and length lie within the archive member. The reader finds the end record,
 follows the ZIP64 locator where there is one, parses the central directory, takes
-the stored members' places from their local headers, reads the index and then the
-records of one block of lines after another. Nothing is unpacked to a file.
+the stored members' places from their local headers, reads the index part by part
+and the records block by block. Nothing is unpacked to a file. A task closes a
+package when its records reach `package_bytes` and begins the next, so it holds one
+package's records at most, and one record more.
 
 Of records with equal payloads of at least 100 bytes the one with the smallest
 page_id is a response and the others revisit it: their record names the payload's
@@ -14,7 +16,8 @@ digest, its length and the response's page, and carries no payload.
 
 Defined results: a null html is an empty payload; a null page_id never is what
 others revisit unless all are null, and then each is a response; rows that repeat
-the first page of a payload are responses too; other columns but url are ignored;
+the first page of a payload are responses too, which is the only tie there is; a
+payload of any length is one record and digested whole; other columns but url are ignored;
 an empty table gives an empty result.
 """
 
@@ -25,10 +28,12 @@ import io
 import struct
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_batch, new_path, prepare, slices, written
@@ -37,6 +42,8 @@ from .store import create, open_ranges
 LEAST_BYTES = 100
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 BLOCK_LINES = 512
+BLOCK_BYTES = 4 << 20
+PACKAGE_BYTES = 64 << 20  # a package is closed by the record that reaches it
 
 #: Signatures and sizes of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -181,14 +188,16 @@ def _page(urn: str) -> int | None:
     return int(digits) if digits else None
 
 
-def write_package(out, rows) -> int:
-    """rows: (page_id, url, payload, refers_to, revisit). The records of a package are held packed until their size is known."""
+def write_package(out, rows, most_bytes: int | None = None) -> int:
+    """rows: an iterator of (page_id, url, payload, refers_to, revisit). Records are taken until they have most_bytes; they are held packed, since their size stands before them."""
     data, lines, at, crc = [], [], 0, 0
     for page_id, url, payload, refers_to, revisit in rows:
         raw = record(page_id, url, payload, refers_to, revisit)
         lines.append(f"{'-' if page_id is None else page_id} {at} {len(raw)} {'revisit' if revisit else 'response'}\n".encode())
         data.append(raw)
         at, crc = at + len(raw), zlib.crc32(raw, crc)
+        if most_bytes is not None and at >= most_bytes:
+            break
     package, index = StoredZip(out), b"".join(lines)
     package.add(ARCHIVE, at, crc, data)
     package.add(INDEX, len(index), zlib.crc32(index), [index])
@@ -196,17 +205,36 @@ def write_package(out, rows) -> int:
     return len(lines)
 
 
+def index_lines(file, begin: int, size: int):
+    """Offset and length of each record, from an index that is read part by part."""
+    rest = b""
+    for at in range(0, size, BLOCK_BYTES):
+        *lines, rest = (rest + file.read_at(min(BLOCK_BYTES, size - at), begin + at)).split(b"\n")
+        for line in lines:
+            yield tuple(map(int, line.split(b" ")[1:3]))
+    if rest:
+        yield tuple(map(int, rest.split(b" ")[1:3]))
+
+
 def read_package(file):
-    """Fields and payload of every record, by range reads of a block of index lines each."""
+    """Fields and payload of every record, by range reads of a block of records each: BLOCK_LINES at most, and BLOCK_BYTES unless one record is larger."""
     members = {m.name: m for m in directory(file)}
     begin, index = stored_at(file, members[ARCHIVE]), stored_at(file, members[INDEX])
-    lines = file.read_at(members[INDEX].size, index).decode().splitlines()
-    for k in range(0, len(lines), BLOCK_LINES):
-        places = [tuple(map(int, line.split(" ")[1:3])) for line in lines[k : k + BLOCK_LINES]]
-        first = places[0][0]
-        block = file.read_at(places[-1][0] + places[-1][1] - first, begin + first)
-        for at, n in places:
-            yield parse(block[at - first : at - first + n])
+    held: list[tuple[int, int]] = []
+
+    def records():
+        if held:
+            first = held[0][0]
+            block = file.read_at(held[-1][0] + held[-1][1] - first, begin + first)
+            for at, n in held:
+                yield parse(block[at - first : at - first + n])
+
+    for at, n in index_lines(file, index, members[INDEX].size):
+        if held and (len(held) >= BLOCK_LINES or at + n - held[0][0] > BLOCK_BYTES):
+            yield from records()
+            held = []
+        held.append((at, n))
+    yield from records()
 
 
 class Bytes(io.BytesIO):
@@ -234,20 +262,25 @@ def planned(pages: DataFrame) -> DataFrame:
     return own.select("page_id", "url", "payload", F.when(F.col("revisit"), F.col("first")).alias("refers_to"), "revisit")
 
 
-def write_packages(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes one package for each partition; the table (path, records) of what was written."""
+def write_packages(pages: DataFrame, folder: str | None = None, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+    """Writes packages of about package_bytes, one or more for each partition; the table (task, part, path, records) of what was written."""
     spark = pages.sparkSession
     prepare(spark)
     folder = folder or new_path(spark, "warc")
+    schema = pa.schema([("task", pa.int64()), ("part", pa.int64()), ("path", pa.string()), ("records", pa.int64())])
 
     def run(batches):
-        path = f"{folder}/part-{TaskContext.get().partitionId():06d}.wacz"
+        task, part = TaskContext.get().partitionId(), 0
         rows = (row for batch in slices(batches) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        with create(path) as out:
-            n = write_package(out, rows)
-        yield arrow_batch({"path": [path], "records": [n]}, pa.schema([("path", pa.string()), ("records", pa.int64())]))
+        first = next(rows, None)
+        while first is not None:
+            path = f"{folder}/part-{task:06d}-{part:04d}.wacz"
+            with create(path) as out:
+                n = write_package(out, chain([first], rows), package_bytes)
+            yield arrow_batch({"task": [task], "part": [part], "path": [path], "records": [n]}, schema)
+            first, part = next(rows, None), part + 1
 
-    return written(planned(pages).mapInArrow(run, "path string, records long"), "warc-list")
+    return written(planned(pages).mapInArrow(run, "task long, part long, path string, records long"), "warc-list")
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -259,7 +292,7 @@ def read_packages(files: DataFrame, with_payload: bool = False) -> DataFrame:
     schema = SCHEMA.append(pa.field("url", pa.string())).append(pa.field("payload", pa.binary())) if with_payload else SCHEMA
 
     def run(batches):
-        rows = {name: [] for name in schema.names}
+        rows, held = {name: [] for name in schema.names}, 0
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with open_ranges(path) as file:
@@ -270,14 +303,17 @@ def read_packages(files: DataFrame, with_payload: bool = False) -> DataFrame:
                         values = (_page(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], _page(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None, fields["WARC-Target-URI"], payload)
                         for name, value in zip(schema.names, values, strict=False):
                             rows[name].append(value)
-                        if len(rows["page_id"]) >= BLOCK_LINES:
+                        held += size if with_payload else 0
+                        if len(rows["page_id"]) >= BLOCK_LINES or held >= BLOCK_BYTES:
                             yield arrow_batch(rows, schema)
-                            rows = {name: [] for name in schema.names}
+                            rows, held = {name: [] for name in schema.names}, 0
         yield arrow_batch(rows, schema)
 
-    listed = files.where("records > 0").select("path")
+    # A package to a task. Packages are few: a row for each 64 MB of records at least.
+    nth = (F.row_number().over(W.orderBy("task", "part")) - 1).cast("int")
+    listed = files.select("path", nth.alias("nth")).repartitionById(max(1, files.count()), F.col("nth")).select("path")
     sql = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * with_payload
-    return listed.repartition(max(1, files.count()), "path").mapInArrow(run, sql)
+    return listed.mapInArrow(run, sql)
 
 
 def archived(pages: DataFrame) -> DataFrame:
