@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -97,29 +98,33 @@ def packed(rows: DataFrame, size: str, most_bytes: int = MAX_FRAME) -> DataFrame
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source, frame, held = None, 0, 0
         for batch in batches:
-            frames = []
-            for own, n in zip(batch["source_id"].tolist(), batch[size].tolist(), strict=True):
-                if own != source:
-                    source, frame, held = own, 0, 0
-                elif held + n > most_bytes:
-                    frame, held = frame + 1, 0
-                held += n
-                frames.append(frame)
+            own, sizes = batch["source_id"].to_numpy(), batch[size].to_numpy()
+            frames = np.empty(len(batch), np.int64)
+            runs = np.nonzero(own[1:] != own[:-1])[0] + 1
+            for b, e in zip([0, *runs.tolist()], [*runs.tolist(), len(batch)], strict=True):
+                if e > b and own[b] != source:
+                    source, frame, held = own[b], 0, 0
+                total, at = np.cumsum(sizes[b:e]), 0
+                while at < e - b:  # one step a frame: how far the sizes' sums let it reach
+                    done = int(total[at - 1]) if at else 0
+                    to = int(np.searchsorted(total, done + most_bytes - held, "right"))
+                    if to == at and held:
+                        frame, held = frame + 1, 0
+                        continue
+                    to = max(to, at + 1)
+                    frames[b + at : b + to] = frame
+                    held, at = held + int(total[to - 1]) - done, to
             yield batch.assign(frame=frames)
 
     return ordered.mapInPandas(run, ddl)
 
 
-def sync_point(high: int, low: int, spans: list[tuple[int, int]]) -> int | None:
-    """The largest value from low to high that no span holds; a span holds first <= v < last."""
-    at = high
-    while holding := [first for first, last in spans if first <= at < last]:
-        at = min(holding) - 1
-    return at if at >= low else None
-
-
 def sync_points(spans: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sync_point() for every stream: spans (keys, first_ts, last_ts), wanted (keys, low, high) -> keys, at (null: none)."""
+    """The largest time from low to high inside no span, for every stream; a span holds its first_ts but not its last_ts.
+
+    spans: keys, first_ts, last_ts; wanted: keys, low, high -> keys, at (null: none).
+    Spans that touch or overlap are one island, so a point inside moves to just before its island.
+    """
     line = W.partitionBy(*KEYS).orderBy("first_ts", "last_ts")
     reach = F.max("last_ts").over(line.rowsBetween(W.unboundedPreceding, -1))
     starts = spans.where("first_ts < last_ts").withColumn("_new", F.when(reach.isNull() | (F.col("first_ts") > reach), 1).otherwise(0))
@@ -129,34 +134,42 @@ def sync_points(spans: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(inside, KEYS, "left").select(*KEYS, F.when(at >= F.col("low"), at).alias("at"))
 
 
-def stream_frames(stream: str, copy_newest: int, oldest: int | None, copy_spans: list[tuple[int, int]], segments: list[dict], ordinal: int = 0) -> list[dict]:
-    """The frames that bring one stream of a resumed copy in step with its origin.
+def resume_frames(held: DataFrame, spans: DataFrame, segments: DataFrame, oldest: DataFrame) -> DataFrame:
+    """The frames that bring every stream of a resumed copy in step with its origin, a row each.
+
+    held: keys, newest (the copy's newest row); spans: keys, first_ts, last_ts (what
+    the copy has sealed); segments: the origin's catalog; oldest: keys, oldest (the
+    origin's oldest row). Returned: keys, place, kind, at, until, n, seq, first_ts,
+    last_ts; a stream's frames go by place, then first_ts.
 
-    copy_newest, copy_spans: what the copy holds. oldest, segments: what the
-    origin holds, segments as Segment frames' fields. The lists are one stream's
-    catalog, which a request bounds at 256 spans for the copy.
+    - Unavailable: rows after `at` and before `until` are gone from the origin.
+    - Sync: the copy's boundary moves to `at`, since its own isn't a boundary of both.
+    - SegmentGroup: the next n segments hold rows that the copy has live.
+    - SegmentAfter: the segment that follows what ends `at`.
+    - NoSyncPoint: the copy drew boundaries of its own; such a stream can't be resumed.
     """
-    head = {"source": ordinal, "stream": stream}
-    frames = []
-    if oldest is not None and oldest > copy_newest + 1:
-        frames.append({"kind": "Unavailable", **head, "after": copy_newest, "before": oldest})
-    low = oldest - 1 if oldest is not None and oldest <= copy_newest else copy_newest
-    mark = max((e for _, e in copy_spans), default=None)
-    high = low if mark is None else max(mark, low)
-    at = sync_point(high, low, copy_spans + [(s["first_ts"], s["last_ts"]) for s in segments])
-    if at is None:
-        raise ValueError(f"{stream} has no sync point in [{low}, {high}]: the copy drew its own segment boundaries")
-    synced = at != mark
-    if synced:
-        frames.append({"kind": "Sync", **head, "at": at})
-    above = sorted((s for s in segments if s["last_ts"] > at), key=lambda s: s["first_ts"])
-    together = 0 if synced else sum(s["first_ts"] <= copy_newest for s in above)
-    if together >= 2:
-        frames.append({"kind": "SegmentGroup", **head, "count": together})
-    for s in above:
-        frames.append({"kind": "SegmentAfter", **head, "after": at, **s})
-        at = s["last_ts"]
-    return frames
+    marks = spans.groupBy(*KEYS).agg(F.max("last_ts").alias("mark"))
+    known = held.join(marks, KEYS, "left").join(oldest, KEYS, "left")
+    reachable = F.when(F.col("oldest") <= F.col("newest"), F.col("oldest") - 1).otherwise(F.col("newest"))
+    known = known.withColumn("low", reachable).withColumn("high", F.greatest("low", "mark"))
+    either = spans.select(*KEYS, "first_ts", "last_ts").union(segments.select(*KEYS, "first_ts", "last_ts"))
+    placed = known.join(sync_points(either, known.select(*KEYS, "low", "high")), KEYS).withColumn("synced", ~F.col("at").eqNullSafe(F.col("mark")))
+    after = segments.join(placed, KEYS).where(F.col("last_ts") > F.col("at"))
+    before = F.lag("last_ts").over(W.partitionBy(*KEYS).orderBy("first_ts"))
+    following = after.withColumn("at", F.coalesce(before, "at"))
+    grouped = after.where(~F.col("synced") & (F.col("first_ts") <= F.col("newest"))).groupBy(*KEYS).agg(F.count("*").alias("n")).where("n >= 2")
+
+    def rows(df: DataFrame, place: int, kind: str, **columns: str) -> DataFrame:
+        value = lambda c: (F.col(columns[c]) if c in columns else F.lit(None)).cast("long").alias(c)
+        return df.select(*KEYS, F.lit(place).alias("place"), F.lit(kind).alias("kind"), *map(value, ("at", "until", "n", "seq", "first_ts", "last_ts")))
+
+    return (
+        rows(placed.where(F.col("oldest") > F.col("newest") + 1), 0, "Unavailable", at="newest", until="oldest")
+        .union(rows(placed.where("at IS NULL"), 1, "NoSyncPoint", at="low", until="high"))
+        .union(rows(placed.where("at IS NOT NULL AND synced"), 1, "Sync", at="at"))
+        .union(rows(grouped, 2, "SegmentGroup", n="n"))
+        .union(rows(following, 3, "SegmentAfter", at="at", n="n_rows", seq="seq", first_ts="first_ts", last_ts="last_ts"))
+    )
 
 
 # --- subscriber --------------------------------------------------------------

@@ -73,6 +73,38 @@ def x7(a):
     return replicate.sync_points(a.segments, wanted)
 
 
+def resumed(a):
+    """A copy as of CUT that has sealed source 2 in pieces of its own, and an origin that has lost what source 3 sealed first."""
+    old = older(a)
+    held = old.segments.select("source_id", "stream", F.col("last_ts").alias("ts")).union(old.wal.select("source_id", "stream", "ts")).groupBy("source_id", "stream").agg(F.max("ts").alias("newest"))
+    shift = F.when(F.col("source_id") == 2, SLICE).otherwise(0)
+    spans = old.segments.select("source_id", "stream", (F.col("first_ts") - shift).alias("first_ts"), (F.col("last_ts") - shift).alias("last_ts"))
+    lost = held.select("source_id", "stream", F.col("newest").alias("_newest"))
+    kept = a.segments.join(lost, ["source_id", "stream"], "left").where(f"source_id <> 3 OR _newest IS NULL OR first_ts > _newest + {SLICE}").drop("_newest")
+    oldest = kept.groupBy("source_id", "stream").agg(F.min("first_ts").alias("oldest"))
+    return replicate.resume_frames(held, spans, kept, oldest)
+
+
+@on_archive("x8_cursor_sync", OLD + f""", spans AS (SELECT {K}, first_ts - CASE WHEN source_id = 2 THEN {SLICE} ELSE 0 END AS first_ts, last_ts - CASE WHEN source_id = 2 THEN {SLICE} ELSE 0 END AS last_ts FROM old_segments),
+kept AS (SELECT g.* FROM segments g LEFT JOIN sent s ON g.source_id = s.source_id AND g.stream = s.stream WHERE g.source_id <> 3 OR s.newest IS NULL OR first_ts > s.newest + {SLICE}),
+known AS (SELECT s.source_id, s.stream, newest, mark, oldest, CASE WHEN oldest <= newest THEN oldest - 1 ELSE newest END AS low
+  FROM sent s LEFT JOIN (SELECT {K}, max(last_ts) AS mark FROM spans GROUP BY {K}) m ON s.source_id = m.source_id AND s.stream = m.stream
+  LEFT JOIN (SELECT {K}, min(first_ts) AS oldest FROM kept GROUP BY {K}) o ON s.source_id = o.source_id AND s.stream = o.stream),
+either AS (SELECT {K}, first_ts, last_ts FROM spans UNION ALL SELECT {K}, first_ts, last_ts FROM kept),
+points AS (SELECT {K}, greatest(low, mark) AS v FROM known UNION SELECT {K}, first_ts - 1 FROM either),
+standing AS (
+  SELECT k.*, greatest(low, mark) AS high, (SELECT max(v) FROM points p WHERE p.source_id = k.source_id AND p.stream = k.stream AND v BETWEEN low AND greatest(low, mark)
+    AND NOT EXISTS (SELECT 1 FROM either e WHERE e.source_id = k.source_id AND e.stream = k.stream AND e.first_ts <= v AND v < e.last_ts)) AS at_ FROM known k),
+above AS (SELECT p.*, g.seq, g.n_rows, g.first_ts, g.last_ts, lag(g.last_ts) OVER (PARTITION BY p.source_id, p.stream ORDER BY g.first_ts) AS previous FROM standing p JOIN kept g ON g.source_id = p.source_id AND g.stream = p.stream AND g.last_ts > p.at_)
+SELECT {K}, 0 AS place, 'Unavailable' AS kind, newest AS "at", oldest AS until, NULL::BIGINT AS n, NULL::BIGINT AS seq, NULL::BIGINT AS first_ts, NULL::BIGINT AS last_ts FROM standing WHERE oldest > newest + 1
+UNION ALL SELECT {K}, 1, 'NoSyncPoint', low, high, NULL, NULL, NULL, NULL FROM standing WHERE at_ IS NULL
+UNION ALL SELECT {K}, 1, 'Sync', at_, NULL, NULL, NULL, NULL, NULL FROM standing WHERE at_ IS NOT NULL AND at_ IS DISTINCT FROM mark
+UNION ALL SELECT {K}, 2, 'SegmentGroup', NULL, NULL, count(*), NULL, NULL, NULL FROM above WHERE at_ = mark AND first_ts <= newest GROUP BY {K} HAVING count(*) >= 2
+UNION ALL SELECT {K}, 3, 'SegmentAfter', coalesce(previous, at_), NULL, n_rows, seq, first_ts, last_ts FROM above""")
+def x8(a):
+    return resumed(a)
+
+
 EVENTS = """, frames AS (
   SELECT source_id AS source, event_id AS number, event_id // 7 + event_id // 40 AS seq, CASE WHEN event_id % 5 = 0 THEN 'Index' ELSE 'Rows' END AS kind,
          CASE WHEN event_id % 10 = 0 THEN 'full' ELSE 'delta' END AS index_kind, CASE WHEN event_id % 5 = 0 THEN (event_id // 5)::VARCHAR WHEN event_id % 3 = 0 THEN 'stale' ELSE NULL END AS own
