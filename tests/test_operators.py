@@ -153,27 +153,31 @@ def test_sync_points(spark):
         wanted.append((k, "s", low, high))
         fits = [v for v in range(low, high + 1) if not any(f <= v < e for f, e in mine)]
         expected[k] = max(fits, default=None)
-        assert replicate.sync_point(high, low, mine) == expected[k]
     got = replicate.sync_points(spark.createDataFrame(spans, "source_id long, stream string, first_ts long, last_ts long"), spark.createDataFrame(wanted, "source_id long, stream string, low long, high long"))
     assert {r.source_id: r["at"] for r in got.collect()} == expected
 
 
-def segment(lo, hi):
-    return {"n_rows": 1, "first_ts": lo, "last_ts": hi, "bytes": b"", "caller_index": None}
-
-
-def test_frames_that_resume_a_stream():
-    kinds = lambda f: [x["kind"] for x in f]
-    in_step = replicate.stream_frames("s", 9, 0, [(0, 9)], [segment(0, 9), segment(10, 12)])
-    assert kinds(in_step) == ["SegmentAfter"] and in_step[0]["after"] == 9
-    live_only = replicate.stream_frames("s", 14, 0, [(0, 9)], [segment(0, 9), segment(10, 12), segment(13, 20)])
-    assert kinds(live_only) == ["SegmentGroup", "SegmentAfter", "SegmentAfter"] and [f["after"] for f in live_only[1:]] == [9, 12]
-    drawn_otherwise = replicate.stream_frames("s", 9, 0, [(5, 9)], [segment(4, 11)])
-    assert kinds(drawn_otherwise) == ["Sync", "SegmentAfter"] and drawn_otherwise[0]["at"] == 3
-    lost = replicate.stream_frames("s", 5, 20, [(0, 5)], [segment(20, 22)])
-    assert kinds(lost) == ["Unavailable", "SegmentAfter"] and (lost[0]["after"], lost[0]["before"]) == (5, 20)
-    with pytest.raises(ValueError, match="no sync point"):
-        replicate.stream_frames("s", 9, 5, [(4, 9), (0, 4)], [segment(3, 12)])
+def test_frames_that_resume_streams(spark):
+    # newest row of the copy, oldest of the origin, the copy's spans, the origin's segments, the frames wanted
+    cases = {
+        "in step": (9, 0, [(0, 9)], [(0, 9), (10, 12)], [("SegmentAfter", 9, 10)]),
+        "live only": (14, 0, [(0, 9)], [(0, 9), (10, 12), (13, 20)], [("SegmentGroup", None, None), ("SegmentAfter", 9, 10), ("SegmentAfter", 12, 13)]),
+        "drawn otherwise": (9, 0, [(5, 9)], [(4, 11)], [("Sync", 3, None), ("SegmentAfter", 3, 4)]),
+        "lost": (5, 20, [(0, 5)], [(20, 22)], [("Unavailable", 5, None), ("SegmentAfter", 5, 20)]),
+        "no point": (9, 5, [(4, 9), (0, 4)], [(3, 12)], [("NoSyncPoint", 4, None)]),
+        "nothing sealed": (7, 0, [], [(0, 3)], [("Sync", -1, None), ("SegmentAfter", -1, 0)]),
+    }
+    held = [(1, name, c[0]) for name, c in cases.items()]
+    spans = [(1, name, *s) for name, c in cases.items() for s in c[2]]
+    segments = [(1, name, seq, 1, *s) for name, c in cases.items() for seq, s in enumerate(c[3])]
+    oldest = [(1, name, c[1]) for name, c in cases.items()]
+    got = replicate.resume_frames(
+        spark.createDataFrame(held, "source_id long, stream string, newest long"), spark.createDataFrame(spans, "source_id long, stream string, first_ts long, last_ts long"),
+        spark.createDataFrame(segments, "source_id long, stream string, seq long, n_rows long, first_ts long, last_ts long"), spark.createDataFrame(oldest, "source_id long, stream string, oldest long"),
+    ).orderBy("stream", "place", "first_ts").collect()
+    for name, case in cases.items():
+        assert [(r.kind, r["at"], r.first_ts) for r in got if r.stream == name] == case[4], name
+    assert [r.n for r in got if r.kind == "SegmentGroup"] == [2]
 
 
 def test_resume_request_round_trip(spark):
@@ -217,12 +221,41 @@ def test_every_order_is_a_request(spark):
 
     sf = "/root/testdata/sf0.001"
     orders = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
-    judged = plans.queries()["w19_all_requests"](spark, sf).cache()
+    judged = plans.queries()["w19_document_requests"](spark, sf).cache()
     assert orders > 400 and judged.count() == orders
-    ids = times(plans.queries()["w19_all_revisions"](spark, sf), "created", "id")
+    ids = times(plans.queries()["w19_document_revisions"](spark, sf), "created", "id")
     assert len(ids) == judged.where("outcome IN ('put', 'deleted')").count() and [i for _, i in ids] == list(range(ids[0][1], ids[0][1] + len(ids)))
 
 
 def test_schema_policy_names(spark):
     with pytest.raises(ValueError, match="schema policy"):
         rewrite.plan_runs(spark.createDataFrame([], SEGMENTS), 1, "whatever")
+
+
+def test_copies_of_documents_with_many_revisions(spark):
+    """1,000 revisions ahead: one that continues what the target has, one that forked, one that both lack in part."""
+    ddl = "id long, uuid string, kind string, name string, schema string, body string, created long, supersedes long"
+
+    def line(name, n, start, own=""):
+        return [(start + i, f"{name}{own}{i}", "k", name, "s", "{}", i, None if i == 0 else start + i - 1) for i in range(n)]
+
+    straight, forked = line("straight", 1000, 1), line("forked", 1000, 5001)
+    src = spark.createDataFrame(straight + forked + line("new", 3, 9001), ddl)
+    fork = [(7001, "own", "k", "forked", "s", "{}", 1, 5010)]
+    dst = spark.createDataFrame(straight[:10] + forked[:10] + fork, ddl)
+    out = documents.copy(src, dst)
+    assert out.inserted.count() == 990 + 990 + 3
+    assert {(r.name, r.displaced, r.forked) for r in out.report.collect()} == {("straight", None, False), ("forked", "own", True), ("new", None, False)}
+
+
+def test_requests_of_one_document_follow_each_other(spark):
+    docs = spark.createDataFrame([(1, "u1", "k", "a", "s", "{}", 1, None)], "id long, uuid string, kind string, name string, schema string, body string, created long, supersedes long")
+    asked = [  # ord, action, name, expected, uuid, the outcome wanted, what it supersedes
+        (10, "put_if", "a", "u1", "n10", "put", 1), (11, "put_if", "a", "u1", "n11", "conflict", None), (12, "put_if", "a", "n10", "n12", "put", 2), (13, "delete", "a", None, "n13", "deleted", 3),
+        (14, "delete", "a", None, "n14", "absent", None), (15, "put_if", "a", None, "n15", "put", 4), (16, "put_if", "b", "u1", "n16", "conflict", None), (17, "put_if", "b", None, "n17", "put", None), (18, "put", "b", None, "n18", "put", 6),
+    ]
+    requests = spark.createDataFrame([(o, a, "k", n, "s", "{}", e, u) for o, a, n, e, u, *_ in asked], "ord long, action string, kind string, name string, schema string, body string, expected string, uuid string")
+    judged = documents.judge(docs, requests)
+    assert {r.ord: r.outcome for r in judged.collect()} == {a[0]: a[5] for a in asked}
+    added = {r.uuid: r.supersedes for r in documents.applied(docs, judged.withColumn("created", F.col("ord"))).collect()}
+    assert added == {a[4]: a[6] for a in asked if a[5] in ("put", "deleted")}

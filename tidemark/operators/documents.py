@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
-from uuid import uuid4
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,40 +39,99 @@ def history(docs: DataFrame, kind: str, name: str) -> DataFrame:
 
 
 def judge(docs: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests with `outcome` and the head they meet, one request a document.
+    """requests with `outcome` and the head that the first request of their document meets.
 
     requests: ord, action (put, put_if, delete), kind, name, schema, body,
-    expected (a put_if's uuid of what should be current; null: nothing).
+    expected (a put_if's uuid of what should be current; null: nothing), and, where a
+    document gets several, uuid, which the revision of a request would have. Requests
+    of one document go by ord, and each meets what those before it left; without
+    uuid each is judged against docs alone, so a document may have one request only.
     """
     h = heads(docs).select(*KEY, F.col("id").alias("head_id"), F.when(F.col("body").isNotNull(), F.col("uuid")).alias("head_uuid"))
     r = requests.join(h, KEY, "left")
     is_put = F.col("action") != "delete"
-    outcome = (
+    refused = (
         F.when((F.col("kind") == "") | (F.col("name") == ""), "needs_key")
         .when(F.col("kind").startswith(RESERVED), "reserved")
         .when(is_put & (F.coalesce("schema", F.lit("")) == ""), "needs_schema")
         .when(is_put & F.col("body").isNull(), "not_json")
         .when(is_put & F.try_parse_json("body").isNull(), "not_json")
-        .when((F.col("action") == "put_if") & ~F.col("head_uuid").eqNullSafe(F.col("expected")), "conflict")
-        .when((F.col("action") == "delete") & F.col("head_uuid").isNull(), "absent")
-        .otherwise(F.when(is_put, "put").otherwise("deleted"))
     )
-    return r.withColumn("outcome", outcome)
+    if "uuid" not in requests.columns:
+        meets = F.when((F.col("action") == "put_if") & ~F.col("head_uuid").eqNullSafe(F.col("expected")), "conflict").when((F.col("action") == "delete") & F.col("head_uuid").isNull(), "absent")
+        return r.withColumn("outcome", F.coalesce(refused, meets, F.when(is_put, "put").otherwise("deleted")))
+    return _folded(r.withColumn("outcome", refused))
+
+
+def _folded(r: DataFrame) -> DataFrame:
+    """Judges what no rule of its own refused, a document's requests one after another. What put_if finds depends on every
+    request before it, so a document is one task, which streams; documents spread over all."""
+    ordered = r.repartition(*KEY).sortWithinPartitions(*KEY, "ord")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        document, now = None, None
+        for batch in batches:
+            outcomes = []
+            for kind, name, action, refused, expected, head, own in zip(*(batch[c] for c in (*KEY, "action", "outcome", "expected", "head_uuid", "uuid")), strict=True):
+                if (kind, name) != document:
+                    document, now = (kind, name), head if isinstance(head, str) else None
+                outcome = refused
+                if not isinstance(refused, str):
+                    if action == "put_if" and now != (expected if isinstance(expected, str) else None):
+                        outcome = "conflict"
+                    elif action == "delete":
+                        outcome, now = ("absent", now) if now is None else ("deleted", None)
+                    else:
+                        outcome, now = "put", own
+                outcomes.append(outcome)
+            yield batch.assign(outcome=outcomes)
+
+    return ordered.mapInPandas(run, r.schema)
 
 
 def applied(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """The revisions that judged requests add, in the order of ord; judged has uuid and created for them.
 
-    Ids go on from the newest.
+    Ids go on from the newest; a document's later requests supersede its earlier ones.
     """
     last = docs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
     ok = judged.where(F.col("outcome").isin("put", "deleted"))
     deleted = F.col("outcome") == "deleted"
-    return ranked(ok, [], "ord", [], ORD_SLICE).crossJoin(last).select(  # one row
-        (F.col("last") + F.col("rn")).alias("id"), "uuid", *KEY, F.when(~deleted, F.col("schema")).alias("schema"), F.when(~deleted, F.col("body")).alias("body"), "created", F.col("head_id").alias("supersedes"),
+    numbered = ranked(ok, [], "ord", [], ORD_SLICE).crossJoin(last).withColumn("id", F.col("last") + F.col("rn"))  # one row
+    before = F.coalesce(F.lag("id").over(W.partitionBy(*KEY).orderBy("ord")), "head_id")
+    return numbered.select(
+        "id", "uuid", *KEY, F.when(~deleted, F.col("schema")).alias("schema"), F.when(~deleted, F.col("body")).alias("body"), "created", before.alias("supersedes"),
     )
 
 
+def jumped(pointers: DataFrame, columns: list[str]) -> DataFrame:
+    """pointers (id, ...) with each of the columns followed to its end: ids that point to themselves.
+
+    Pointers are doubled, so a line of n takes log2(n) rounds; each round is
+    checkpointed, which bounds the plan and survives lost executors.
+    """
+    spark = pointers.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="tidemark-"))
+    now = pointers.checkpoint()
+    while True:
+        step = now
+        for c in columns:
+            other = now.select(F.col("id").alias("_id"), F.col(c).alias("_next"))
+            step = step.join(other, F.col(c) == F.col("_id")).withColumn(f"_{c}", F.col("_next")).drop("_id", "_next")
+        step = step.checkpoint()
+        moved = F.lit(False)
+        for c in columns:
+            moved = moved | (F.col(c) != F.col(f"_{c}"))
+        more = step.where(moved).limit(1).count()
+        now = step.select(*[F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in pointers.columns])
+        if not more:
+            return now
+
+
 @dataclass(frozen=True)
 class Copied:
     inserted: DataFrame  # revisions, as they go into the target
@@ -85,7 +146,6 @@ def copy(src: DataFrame, dst: DataFrame, id_slice: int = 1 << 32) -> Copied:
     what now is newest: that head is displaced. A deletion is displaced only if
     the new line shares an ancestor that dst had.
     """
-    spark = src.sparkSession
     d = dst.select(F.col("uuid"), F.col("id").alias("held_id"), *[F.col(c).alias(f"_{c}") for c in CONTENT])
     both = src.join(d, "uuid", "left")
     differs = F.lit(False)
@@ -104,20 +164,19 @@ def copy(src: DataFrame, dst: DataFrame, id_slice: int = 1 << 32) -> Copied:
     ids = numbered.select(F.col("id").alias("_src"), F.col("new_id").alias("_to")).union(both.where("held_id IS NOT NULL").select("id", "held_id"))
     inserted = numbered.join(ids, F.col("supersedes") == F.col("_src"), "left").select(F.col("new_id").alias("id"), "uuid", *CONTENT, "created", F.col("_to").alias("supersedes"))
 
-    after = dst.select("id", "supersedes").union(inserted.select("id", "supersedes"))
+    after = dst.select(*KEY, "id", "supersedes").union(inserted.select(*KEY, "id", "supersedes"))
     tops = inserted.groupBy(*KEY).agg(F.max_by(F.struct("id", "uuid"), "id").alias("top"))
     earlier = heads(dst).select(*KEY, F.struct("id", "uuid", F.col("body").isNull().alias("deleted")).alias("before"))
     touched = tops.join(earlier, KEY, "left")
-    view = f"revisions_{uuid4().hex}"
-    # Each round of the recursion reads both again; revisions are few and their text isn't among the columns kept.
-    after.persist().createOrReplaceTempView(view)
-    touched.select(*KEY, F.col("top.id").alias("at"), F.col("before.id").alias("target")).where("before IS NOT NULL").persist().createOrReplaceTempView(f"{view}_from")
-    line = spark.sql(f"""
-        WITH RECURSIVE line(kind, name, target, at) AS (
-          SELECT kind, name, target, at FROM {view}_from
-          UNION ALL SELECT l.kind, l.name, l.target, r.supersedes FROM line l JOIN {view} r ON r.id = l.at WHERE r.supersedes IS NOT NULL AND l.at <> l.target)
-        SELECT * FROM line""").crossJoin(last)  # one row
-    reach = line.groupBy(*KEY).agg(F.bool_or(F.col("at") == F.col("target")).alias("reaches"), F.bool_or(F.col("at") <= F.col("_last")).alias("shares"))
+    # A revision supersedes an earlier one, so ids fall along a line: from the top, the last one that isn't below the
+    # earlier head is that head or the line passes it by; the last one that is new has an ancestor in dst or none.
+    lines = after.join(touched.where("before IS NOT NULL").select(*KEY, F.col("before.id").alias("target")), KEY).crossJoin(last)  # one row
+    up = F.when(F.col("supersedes") < F.col("id"), F.col("supersedes"))
+    past = lambda floor: F.when(up >= floor, up).otherwise(F.col("id"))
+    ends = jumped(lines.select("id", past(F.col("target")).alias("at_target"), past(F.col("_last") + 1).alias("at_new"), up.isNotNull().alias("has_up")), ["at_target", "at_new"])
+    top = touched.where("before IS NOT NULL").select(*KEY, F.col("top.id").alias("id"), F.col("before.id").alias("target")).join(ends, "id")
+    older = ends.select(F.col("id").alias("at_new"), F.col("has_up").alias("shares"))
+    reach = top.join(older, "at_new").select(*KEY, (F.col("at_target") == F.col("target")).alias("reaches"), "shares")
     judged = touched.join(reach, KEY, "left")
     forked = F.col("before").isNotNull() & ~F.col("reaches") & (~F.col("before.deleted") | F.col("shares"))
     report = judged.select(*KEY, F.when(forked, F.col("before.uuid")).alias("displaced"), F.col("top.uuid").alias("current"), forked.alias("forked"))

@@ -35,7 +35,7 @@ requests AS (
   SELECT l_linenumber * 10000000 + l_orderkey AS ord, CASE l_linenumber % 3 WHEN 0 THEN 'delete' WHEN 1 THEN 'put_if' ELSE 'put' END AS action,
          CASE WHEN l_orderkey % 11 = 0 THEN 'tidemark.x' WHEN l_orderkey % 2 = 0 THEN 'user' ELSE 'assistant' END AS kind, CASE WHEN l_orderkey % 13 = 0 THEN '' ELSE l_orderkey::VARCHAR END AS name,
          CASE WHEN l_orderkey % 7 = 0 THEN '' ELSE 'turn/2' END AS schema, CASE WHEN l_orderkey % 5 = 0 THEN 'no json' ELSE '[1, 2]' END AS body
-  FROM (SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem WHERE l_orderkey < 400 GROUP BY l_orderkey)),
+  FROM (SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_orderkey)),
 judged AS (
   SELECT r.ord, r.action, r.kind, r.name, r.schema, r.body, h.id AS head_id, CASE WHEN h.body IS NOT NULL THEN h.uuid END AS head_uuid, CASE WHEN r.ord % 2 = 0 THEN CASE WHEN h.body IS NOT NULL THEN h.uuid END ELSE 'other' END AS expected
   FROM requests r LEFT JOIN heads h ON r.kind = h.kind AND r.name = h.name),
@@ -45,12 +45,8 @@ outcomes AS (
        WHEN action = 'delete' AND head_uuid IS NULL THEN 'absent' WHEN action = 'delete' THEN 'deleted' ELSE 'put' END AS outcome FROM judged)
 """
 
-#: The same over all of lineitem.
-W19_ALL = W19.replace("WHERE l_orderkey < 400 ", "")
-
-
-def requests(spark, sf_dir, docs, only="true"):
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(only).groupBy("l_orderkey").agg(F.min("l_linenumber").alias("n"))
+def requests(spark, sf_dir, docs):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("n"))
     k, n = F.col("l_orderkey"), F.col("n")
     r = lines.select(
         (n * 10_000_000 + k).alias("ord"), F.when(n % 3 == 0, "delete").when(n % 3 == 1, "put_if").otherwise("put").alias("action"),
@@ -61,49 +57,57 @@ def requests(spark, sf_dir, docs, only="true"):
     return r.join(h, ["kind", "name"], "left").withColumn("expected", F.when(F.col("ord") % 2 == 0, F.col("_u")).otherwise("other")).drop("_u")
 
 
-JUDGED = "SELECT ord, kind, name, outcome FROM outcomes"
-
-
-def w19_judged(spark, sf_dir, only="true"):
-    docs = revisions(spark, sf_dir)
-    return documents.judge(docs, requests(spark, sf_dir, docs, only)).select("ord", "kind", "name", "outcome")
-
-
-@query("w19_document_requests", W19 + JUDGED)
+@query("w19_document_requests", W19 + "SELECT ord, kind, name, outcome FROM outcomes")
 def w19(spark, sf_dir):
-    return w19_judged(spark, sf_dir, "l_orderkey < 400")
-
-
-@query("w19_all_requests", W19_ALL + JUDGED)
-def w19_all(spark, sf_dir):
-    return w19_judged(spark, sf_dir)
+    docs = revisions(spark, sf_dir)
+    return documents.judge(docs, requests(spark, sf_dir, docs)).select("ord", "kind", "name", "outcome")
 
 
 REVISED = """SELECT (SELECT max(id) FROM docs) + row_number() OVER (ORDER BY ord) AS id, md5(ord::VARCHAR) AS uuid, kind, name, CASE WHEN outcome = 'put' THEN schema END AS schema, CASE WHEN outcome = 'put' THEN body END AS body, ord AS created, head_id AS supersedes
 FROM outcomes WHERE outcome IN ('put', 'deleted')"""
 
 
-def w19_applied(spark, sf_dir, only="true"):
+@query("w19_document_revisions", W19 + REVISED)
+def w19_revisions(spark, sf_dir):
     docs = revisions(spark, sf_dir)
-    judged = documents.judge(docs, requests(spark, sf_dir, docs, only)).withColumns({"uuid": F.md5(F.col("ord").cast("string")), "created": F.col("ord")})
-    return documents.applied(docs, judged)
+    own = {"uuid": F.md5(F.col("ord").cast("string")), "created": F.col("ord")}
+    return documents.applied(docs, documents.judge(docs, requests(spark, sf_dir, docs).withColumns(own)))
 
 
-@query("w19_document_revisions", W19 + REVISED)
-def w19_revisions(spark, sf_dir):
-    return w19_applied(spark, sf_dir, "l_orderkey < 400")
+#: Every order line is a request, so a document gets several: each meets the head that those before it left.
+W19_LINES = W19.replace("FROM (SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_orderkey)", "FROM lineitem").replace("CASE WHEN l_orderkey % 13 = 0 THEN '' ELSE l_orderkey::VARCHAR END", "(l_orderkey % 3000)::VARCHAR").replace("ELSE 'other' END AS expected", "WHEN r.ord % 3 = 0 THEN md5((r.ord - 10000000)::VARCHAR) END AS expected") + """, valid AS (
+  SELECT *, row_number() OVER (PARTITION BY kind, name ORDER BY ord) AS rn FROM outcomes WHERE outcome IN ('put', 'conflict', 'deleted', 'absent')),
+folded AS (
+  SELECT kind, name, 0::BIGINT AS rn, NULL::BIGINT AS ord, NULL::VARCHAR AS outcome, any_value(head_uuid) AS at_uuid FROM valid GROUP BY kind, name
+  UNION ALL
+  SELECT v.kind, v.name, v.rn, v.ord, o, CASE o WHEN 'put' THEN md5(v.ord::VARCHAR) WHEN 'deleted' THEN NULL ELSE f.at_uuid END
+  FROM folded f JOIN valid v ON v.kind = f.kind AND v.name = f.name AND v.rn = f.rn + 1,
+  LATERAL (SELECT CASE WHEN v.action = 'put_if' AND f.at_uuid IS DISTINCT FROM v.expected THEN 'conflict' WHEN v.action = 'delete' AND f.at_uuid IS NULL THEN 'absent' WHEN v.action = 'delete' THEN 'deleted' ELSE 'put' END AS o) x)
+SELECT ord, kind, name, outcome FROM folded WHERE rn > 0
+UNION ALL SELECT ord, kind, name, outcome FROM outcomes WHERE outcome NOT IN ('put', 'conflict', 'deleted', 'absent')"""
 
 
-@query("w19_all_revisions", W19_ALL + REVISED)
-def w19_all_revisions(spark, sf_dir):
-    return w19_applied(spark, sf_dir)
+@query("w19_request_sequences", W19_LINES)
+def w19_lines(spark, sf_dir):
+    docs = revisions(spark, sf_dir)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.col("l_linenumber").alias("n"))
+    k, n = F.col("l_orderkey"), F.col("n")
+    r = lines.select(
+        (n * 10_000_000 + k).alias("ord"), F.when(n % 3 == 0, "delete").when(n % 3 == 1, "put_if").otherwise("put").alias("action"),
+        F.when(k % 11 == 0, "tidemark.x").when(k % 2 == 0, "user").otherwise("assistant").alias("kind"), (k % 3000).cast("string").alias("name"),
+        F.when(k % 7 == 0, "").otherwise("turn/2").alias("schema"), F.when(k % 5 == 0, "no json").otherwise("[1, 2]").alias("body"),
+    )
+    h = documents.current(docs).select("kind", "name", F.col("uuid").alias("_u"))
+    earlier = F.when(F.col("ord") % 3 == 0, F.md5((F.col("ord") - 10_000_000).cast("string")))
+    r = r.join(h, ["kind", "name"], "left").withColumn("expected", F.when(F.col("ord") % 2 == 0, F.col("_u")).otherwise(earlier)).drop("_u")
+    return documents.judge(docs, r.withColumn("uuid", F.md5(F.col("ord").cast("string")))).select("ord", "kind", "name", "outcome")
 
 
 C8 = """, own AS (SELECT 1000000000000000 + conv_id AS id, md5('own' || conv_id) AS uuid, 'user' AS kind, conv_id::VARCHAR AS name, CASE WHEN conv_id % 9 = 0 THEN NULL ELSE 'turn/1' END AS schema, CASE WHEN conv_id % 9 = 0 THEN NULL ELSE '{}' END AS body, conv_id AS created FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 3 = 0)),
 dst AS (
   SELECT * FROM docs WHERE id < 2 * 4294967296
   UNION ALL SELECT o.*, (SELECT max(id) FROM docs d WHERE d.kind = o.kind AND d.name = o.name AND d.id < 2 * 4294967296) AS supersedes FROM own o),
-src AS (SELECT * FROM docs WHERE name::BIGINT % 2 = 0),
+src AS (SELECT * FROM docs),
 new AS (SELECT s.*, (SELECT max(id) FROM dst) + row_number() OVER (ORDER BY s.id) AS new_id FROM src s WHERE uuid NOT IN (SELECT uuid FROM dst)),
 ids AS (SELECT id, new_id FROM new UNION ALL SELECT s.id, d.id FROM src s JOIN dst d ON s.uuid = d.uuid),
 inserted AS (SELECT n.new_id AS id, n.uuid, n.kind, n.name, n.schema, n.body, n.created, i.new_id AS supersedes FROM new n LEFT JOIN ids i ON n.supersedes = i.id),
@@ -127,7 +131,7 @@ def copied(spark, sf_dir):
     c, put = F.col("conv_id"), F.col("conv_id") % 9 != 0
     last = old.where("kind = 'user'").groupBy("name").agg(F.max("id").alias("supersedes"))
     own = edits.select((c + 1_000_000_000_000_000).alias("id"), F.md5(F.concat(F.lit("own"), c)).alias("uuid"), F.lit("user").alias("kind"), c.cast("string").alias("name"), F.when(put, "turn/1").alias("schema"), F.when(put, "{}").alias("body"), c.alias("created")).join(last, "name", "left")
-    return documents.copy(docs.where("cast(name AS BIGINT) % 2 = 0"), old.unionByName(own))
+    return documents.copy(docs, old.unionByName(own))
 
 
 @query("c8_document_copy", C8 + "SELECT * FROM inserted")

@@ -47,15 +47,17 @@ def w5(spark, sf_dir):
     return ingest.dropped(ingest.admit(*ticks(spark, sf_dir)))
 
 
-@query("w4_replica_admission", TICKS + f""", plain AS (
+@query("w4_replica_admission", TICKS + f""", even AS (SELECT source_id, stream, tick, ts + CASE WHEN ord % 13 = 0 THEN 3 * {SLICE} ELSE 0 END AS ts, ord FROM ticks),
+plain AS (
   SELECT t.*, greatest(max(t.ts) OVER (PARTITION BY t.source_id, t.stream ORDER BY t.tick RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b.newest) AS bound,
          row_number() OVER (PARTITION BY t.source_id, t.stream, t.tick, t.ts ORDER BY t.ord) AS nth
-  FROM ticks t LEFT JOIN started b ON t.source_id = b.source_id AND t.stream = b.stream WHERE t.ord % 13 <> 0),
+  FROM even t LEFT JOIN started b ON t.source_id = b.source_id AND t.stream = b.stream),
 stop AS (SELECT source_id, min(tick) AS stop FROM plain WHERE ts <= bound OR nth > 1 GROUP BY source_id)
 SELECT p.source_id, p.stream, p.tick, p.ts, p.ord, CASE WHEN s.stop IS NULL OR p.tick < s.stop THEN 'accepted' ELSE 'poisoned' END AS outcome FROM plain p LEFT JOIN stop s ON p.source_id = s.source_id""")
 def w4_replica(spark, sf_dir):
     rows, newest, _ = ticks(spark, sf_dir)
-    return ingest.admit_replica(rows.where("ord % 13 <> 0"), newest)
+    even = rows.withColumn("ts", F.col("ts") + F.when(F.col("ord") % 13 == 0, 3 * SLICE).otherwise(0))
+    return ingest.admit_replica(even, newest)
 
 
 @on_archive("w6_floors", "SELECT source_id, max(ts) AS floor FROM (SELECT source_id, ts FROM wal UNION ALL SELECT source_id, last_ts FROM segments UNION ALL SELECT source_id, ts FROM bounds WHERE kind = 0) GROUP BY source_id")
