@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
@@ -93,10 +94,53 @@ def test_licenses_match_a_scan_of_all_windows(spark):
                 if sum(min(n, held[s]) for s, n in wanted.items()) >= licenses.LEAST * sum(wanted.values()):
                     expected.add(name)
                     break
-        assert got[i] == expected, i
+        # what is missing is kin of something that is reported: half of its shingles are the other's
+        assert got[i] <= expected and bool(got[i]) == bool(expected), i
+        for name in expected - got[i]:
+            own = set(licenses.shingles(licenses.words_of(licenses.TEMPLATES[name])))
+            assert any(2 * len(own & set(licenses.shingles(licenses.words_of(licenses.TEMPLATES[other])))) >= len(own) for other in got[i]), (i, name)
     assert "mit" in got[2] and "mit" not in got[3]
 
 
+def test_kindred_licenses_are_told_apart(spark):
+    rng = random.Random(17)
+    names = [n for n in licenses.TEMPLATES if not n.endswith("-notice")]
+    filler = lambda n: " ".join(words(rng, n))
+    table = [(i, f"{filler(80)} {licenses.TEMPLATES[n]} {filler(200)}", None, None) for i, n in enumerate(names)]
+    got = defaultdict(set)
+    for r in licenses.scan_licenses(frame(spark, table)).collect():
+        got[r.doc_id].add(r.template)
+    assert dict(got) == {i: {n} for i, n in enumerate(names)}
+    both = f"{licenses.TEMPLATES['gpl-3.0']} {filler(300)} {licenses.TEMPLATES['lgpl-3.0']}"
+    assert {r.template for r in licenses.scan_licenses(frame(spark, [(1, both, None, None)])).collect()} == {"gpl-3.0", "lgpl-3.0"}
+
+
+@pytest.mark.parametrize("leader", ["// ", "# ", " * ", "-- ", "% ", "; ", "//! "])
+def test_comment_leaders_do_not_matter(leader):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        if not name.endswith("-notice"):
+            wrapped = "\n".join(leader + line for line in textwrap.wrap(text, 76))
+            assert [(m[0], m[1]) for m in scanner.scan(f"int x;\n{wrapped}\nint main() {{}}")] == [(name, 1.0)]
+
+
+def test_what_is_looked_up_first_loses_no_candidate():
+    """The windows that share a band with a template, with and without the look-up."""
+    rng = random.Random(18)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    parts = [w for text in licenses.TEMPLATES.values() for w in text.split()]
+    for _ in range(40):
+        text = " ".join(rng.choice([" ".join(words(rng, 30)), " ".join(parts[at : at + rng.randrange(3, 90)])]) for at in rng.sample(range(len(parts)), 6))
+        hashes = scanner._shingle_hashes(licenses.words_of(text))
+        hits = np.nonzero(np.isin(hashes, scanner.known))[0]
+        for length in scanner.groups:
+            every = set(scanner._candidates(hashes, np.arange(len(hashes)), length))
+            low = max(0, int(hits[0]) - length) // max(1, length // 8) * max(1, length // 8) if len(hits) else 0
+            found = {(low + at, t) for at, t in scanner._candidates(hashes[low : int(hits[-1]) + 1 + length], hits - low, length)} if len(hits) else set()
+            holding = {(at, t) for at, t in every if np.isin(hashes[at : at + length], scanner.known).any()}
+            assert holding <= found
+
+
 def test_bands_bound_the_miss():
     for shingles, length in ((1, 1), (3, 4), (8, 8), (80, 128), (200, 256)):
         shared = -(-licenses.LEAST * shingles // 1) - max(1, length // 8) // 2
