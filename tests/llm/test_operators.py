@@ -179,6 +179,10 @@ def test_quality_rules_keep_clean_text(spark):
     assert "symbols_per_word" in got[2][1] and not got[2][0]
     assert "shouting_per_word" in got[3][1] and not got[3][0]
     assert not got[4][0]
+    salad = " ".join(f"word{i}" for i in range(60))
+    stops = {r.doc_id: (r.kept, r.failed_rules) for r in quality.verdicts(frame(spark, [(1, salad, "en", "s"), (2, salad, "fi", "s"), (3, salad, None, "s"), (4, "The OF and, to " + salad, "en", "s")])).collect()}
+    assert stops == {1: (False, "stop_words_en"), 2: (True, ""), 3: (True, ""), 4: (True, "")}
+    assert quality.verdicts(spark.createDataFrame([(1, salad)], "doc_id long, text string")).first().kept
     assert quality.good_documents(frame(spark, [(1, clean, "en", "s"), (2, bad, "en", "s")])).columns == frame(spark, []).columns
 
 

@@ -3,16 +3,21 @@
 measures() derives the counts of a text in one projection: words, their code
 points, symbols, repeated lines and words in repeated 5-word windows, stop words,
 marks of shouting, blank and short lines. RULES is the table: a rule names a
-numerator, a denominator, and the least and most that their ratio may be.
-compiled() turns it into one Boolean expression for each rule.
+numerator, a denominator, the least and most that their ratio may be, and the
+language it holds for, if not for all. compiled() turns it into one Boolean
+expression for each rule. Only languages whose stop words are listed have a rule
+for stop words, with a threshold each: a text in another language, or of none that
+the table names, passes it.
 
 Repeated windows: the windows' 64-bit hashes are compared first; where all
 differ, all windows do and the count is 0. Otherwise the windows themselves are
 sorted with their places, so equal hashes of different windows change nothing.
 
 Defined results: a null text has no words; a ratio with denominator 0, or with a
-denominator below the rule's floor, passes; other columns are ignored; repeated
-rows get equal answers; an empty table gives an empty result.
+denominator below the rule's floor, passes; a table without `lang` has texts of no
+named language; texts are measured whole, whatever their length; rules don't depend
+on other rows, so there are no ties; other columns are ignored; repeated rows get
+equal answers; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,17 +33,20 @@ WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 
-#: Frequent words of the languages that the corpus has, without marks.
-STOP_WORDS = (
-    "the of and to a in is that for it was on with be as by "
-    "der die und den von zu das sich mit auf des ist nicht im ein "
-    "de la le et les en un du une que pour est qui dans par "
-    "el y los se del las por no con su para al es una"
-).split()
+#: Frequent words of four languages, without marks.
+STOP_WORDS_OF = {
+    "en": "the of and to a in is that for it was on with be as by",
+    "de": "der die und den von zu das sich mit auf des ist nicht im ein",
+    "fr": "de la le et les en un du une que pour est qui dans par",
+    "es": "el y los se del las por no con su para al es una",
+}
+STOP_WORDS = list(dict.fromkeys(" ".join(STOP_WORDS_OF.values()).split()))
+#: The least part of words that are stop words, in texts of 50 words or more.
+LEAST_STOP_WORDS = {"en": 0.02, "de": 0.02, "fr": 0.02, "es": 0.02}
 
 
 class Rule(NamedTuple):
-    """least <= numerator / denominator <= most, where the denominator is at least `floor`."""
+    """least <= numerator / denominator <= most, where the denominator is at least `floor`, in texts of `lang` (None: all)."""
 
     name: str
     numerator: str
@@ -46,13 +54,14 @@ class Rule(NamedTuple):
     least: float | None = None
     most: float | None = None
     floor: int = 1
+    lang: str | None = None
 
 
 RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 12.0, 20),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.1),
     Rule("shouting_per_word", "n_exclamations", "n_words", None, 0.3),
-    Rule("stop_words", "n_stop_words", "n_words", 0.02, None, 50),
+    *(Rule(f"stop_words_{lang}", "n_stop_words", "n_words", least, None, 50, lang) for lang, least in LEAST_STOP_WORDS.items()),
     Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.5, 8),
 )
 
@@ -87,20 +96,22 @@ def _repeated(words: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that rules are made of."""
+    """doc_id, lang and the counts that rules are made of."""
     text = text_or_empty()
-    base = docs.select("doc_id", text.alias("text"), F.filter(F.split(text, SPACES + "+"), lambda w: w != "").alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    total = lambda f: F.aggregate("words", F.lit(0), lambda s, w: s + f(w)).cast("long")
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    base = docs.select("doc_id", lang.alias("lang"), text.alias("text"), F.filter(F.split(text, SPACES + "+"), lambda w: w != "").alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"))
+    edge = SPACES.replace("[", "[^")
+    stop = f"(?i)(?<!{edge})(?:{'|'.join(STOP_WORDS)})(?!{edge})"  # between white space or the text's ends
     return base.select(
         "doc_id",
+        "lang",
         F.size("words").cast("long").alias("n_words"),
-        total(F.length).alias("word_chars"),
+        F.length(F.regexp_replace("text", SPACES + "+", "")).cast("long").alias("word_chars"),
         _dropped(F.col("text"), "[#*$%&|<>]+").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeated(F.col("words")).alias("n_repeat_words"),
         _dropped(F.col("text"), "!+").alias("n_exclamations"),
-        total(lambda w: F.array_contains(stop, F.lower(w)).cast("int")).alias("n_stop_words"),
+        F.regexp_count("text", F.lit(stop)).cast("long").alias("n_stop_words"),
         F.size("lines").cast("long").alias("n_lines"),
     )
 
@@ -115,7 +126,10 @@ def compiled(rules=RULES) -> dict[str, Column]:
         if r.most is not None:
             tests.append(ratio <= r.most)
         ok = tests[0] if len(tests) == 1 else tests[0] & tests[1]
-        out[r.name] = F.when(F.col(r.denominator) < max(1, r.floor), True).otherwise(ok)
+        exempt = F.col(r.denominator) < max(1, r.floor)
+        if r.lang is not None:
+            exempt = exempt | ~F.col("lang").eqNullSafe(r.lang)
+        out[r.name] = F.when(exempt, True).otherwise(ok)
     return out
 
 
@@ -128,10 +142,10 @@ def verdicts(docs: DataFrame, rules=RULES) -> DataFrame:
         verdict = verdict & test
     names = F.filter(F.array(*[F.when(~test, F.lit(name)) for name, test in tests.items()]), lambda x: x.isNotNull())
     measured = measures(docs)
-    return measured.select(*measured.columns, failed.alias("base_failed"), (~failed & verdict).alias("kept"), F.array_join(names, ",").alias("failed_rules"))
+    return measured.select(*(c for c in measured.columns if c != "lang"), failed.alias("base_failed"), (~failed & verdict).alias("kept"), F.array_join(names, ",").alias("failed_rules"))
 
 
 def good_documents(docs: DataFrame, rules=RULES) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), F.col("text"))
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), *[c for c in ("text", "lang") if c in docs.columns])
     return verdicts(plain, rules).where("kept").select("doc_id.*")

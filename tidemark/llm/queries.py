@@ -16,7 +16,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
     return quality.verdicts(table(spark, sf_dir, "documents")).select(*columns)
 
 
@@ -72,12 +72,13 @@ _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 def _rule_sql(r: quality.Rule) -> str:
     ratio = f"{r.numerator}::DOUBLE / nullif({r.denominator}, 0)::DOUBLE"
     tests = [f"{ratio} >= {r.least}"] * (r.least is not None) + [f"{ratio} <= {r.most}"] * (r.most is not None)
-    return f"({r.denominator} < {max(1, r.floor)} OR ({' AND '.join(tests)}))"
+    other = f" OR lang IS DISTINCT FROM '{r.lang}'" if r.lang is not None else ""
+    return f"({r.denominator} < {max(1, r.floor)}{other} OR ({' AND '.join(tests)}))"
 
 
 OP2_SQL = f"""
 WITH w AS (
-  SELECT doc_id, coalesce(text, '') AS text,
+  SELECT doc_id, lang, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
   FROM documents),
@@ -85,7 +86,7 @@ grams AS (SELECT doc_id, p, array_to_string(words[p:p + 4], ' ') AS g FROM w, un
 twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
 repeated AS (SELECT doc_id, count(DISTINCT q) AS n FROM twice, unnest(range(p, p + 5)) u(q) GROUP BY doc_id),
 m AS (
-  SELECT w.doc_id, len(words)::BIGINT AS n_words,
+  SELECT w.doc_id, w.lang, len(words)::BIGINT AS n_words,
          coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
@@ -96,7 +97,8 @@ m AS (
   FROM w LEFT JOIN repeated r ON w.doc_id = r.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND {' AND '.join(map(_rule_sql, quality.RULES))} AS kept
+       NOT base_failed AND {' AND '.join(map(_rule_sql, quality.RULES))} AS kept,
+       concat_ws(',', {', '.join(f"CASE WHEN NOT {_rule_sql(r)} THEN '{r.name}' END" for r in quality.RULES)}) AS failed_rules
 FROM b
 """
 
