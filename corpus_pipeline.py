@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, language, mixing, packing, simhash
-from tidemark.llm.common import discard, prepare, table, written
+from tidemark.llm.common import prepare, stage_tables, table, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +15,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     answers; texts are read whole; with no labelled row all documents stay; an empty table stays empty.
     """
     prepare(spark)
-    return language.known_documents(docs)
+    with stage_tables(spark, docs):
+        return language.known_documents(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hashed whole; an empty table stays empty.
     """
     prepare(spark)
-    return exact_dedup.dedup_documents(docs)
+    with stage_tables(spark, docs):
+        return exact_dedup.dedup_documents(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts are read whole; an empty table stays empty.
     """
     prepare(spark)
-    return simhash.dedup_documents(docs)
+    with stage_tables(spark, docs):
+        return simhash.dedup_documents(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +49,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     whole; an empty table stays empty.
     """
     prepare(spark)
-    return mixing.mixed_documents(docs)
+    with stage_tables(spark, docs):
+        return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +60,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     length are numbered in the order of tasks; texts are encoded whole; an empty table stays empty.
     """
     prepare(spark)
-    return packing.pack(docs, with_ids=True)
+    with stage_tables(spark, docs):
+        return packing.pack(docs, with_ids=True)
 
 
 STAGES = [
@@ -73,10 +78,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        if held is not None:
-            discard(held)  # what the next stage was made of
-        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -448,10 +448,19 @@ def test_language_is_that_of_plain_naive_bayes(spark, monkeypatch):
     model = language.Model(["a", "b"], np.random.default_rng(0).normal(size=(language.FEATURES, 2)).astype(np.float32), np.zeros(2))
     whole = model.score([r[1] for r in table])
     monkeypatch.setattr(language, "CHUNK", 64)
+    monkeypatch.setattr(language, "SPAN", 7)
     parts = model.score([r[1] for r in table])
     assert whole[0] == parts[0] and np.allclose(whole[1], parts[1]) and np.allclose(whole[2], parts[2])
 
 
+def test_features_in_parts_are_those_of_the_whole():
+    rng = random.Random(19)
+    for text in ["", "123", "a", " a", "a ", "--ab  c--", *("".join(rng.choices("ab É1 -", k=rng.randrange(1, 40))) for _ in range(300))]:
+        expected = Counter(PlainBayes.grams(text))
+        for span in (1, 2, 3, 5, 1000):
+            assert Counter(g for part in language.features(text, span) for g in part.tolist()) == expected, (text, span)
+
+
 def test_labels_are_bounded(spark):
     table = [(i, "the cat", "en" if i % 2 else f"dirty {i}", None) for i in range(60)] + [(100 + i, "le chat", "fr", None) for i in range(20)]
     model = language.fit(frame(spark, table).select("doc_id", "text", "lang"), most_labels=2)

@@ -70,6 +70,36 @@ def test_stages_take_odd_rows_and_columns(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, current, SF).count() >= len(left)
 
 
+def test_stages_delete_what_earlier_ones_made(spark, tmp_path):
+    from pathlib import Path
+
+    from tidemark.llm.common import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    held = set(folder.glob("*"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    left = {p.name.split("-")[0] for p in set(folder.glob("*")) - held}
+    assert not left & {"fresh", "near", "mix"} and "pieces" in left
+
+
+def test_exact_dedup_reduces_before_it_shuffles(spark):
+    from tidemark.llm import exact_dedup
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plans = []
+    held = exact_dedup.written
+    exact_dedup.written = lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or held(df, name)
+    try:
+        exact_dedup.dedup_documents(docs)
+    finally:
+        exact_dedup.written = held
+    partial, exchange = plans[0].index("partial_max_by"), plans[0].index("Exchange hashpartitioning(digest")
+    assert plans[0].count("Exchange hashpartitioning(digest") == 1 and exchange < partial  # top down: the exchange stands above the partial aggregate
+
+
 def test_run_ends_in_pieces(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[:2] == ["doc_id", "start"] and out.count() > 0

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -20,6 +21,8 @@ SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_MADE: list[str] = []  # tables of written()
+_STAGES: list[str] = []  # those of a pipeline's stages
 
 
 def prepare(spark: SparkSession) -> None:
@@ -53,8 +56,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def clean(spark: SparkSession) -> None:
     """Deletes what this application has written to the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_folder(spark))
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -63,14 +65,57 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
+    _MADE.append(path)
     return out
 
 
+@contextmanager
+def without_rule(spark: SparkSession, rule: str):
+    """Plans made within the block are optimized without this rule."""
+    key = "spark.sql.optimizer.excludedRules"
+    held = spark.conf.get(key, None)
+    spark.conf.set(key, ",".join(filter(None, [held, rule])))
+    try:
+        yield
+    finally:
+        if held is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, held)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def roots(df: DataFrame) -> list[str]:
+    """The folders and files that df is read from."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and "HadoopFsRelation" in leaf.relation().getClass().getSimpleName():
+            found += leaf.relation().location().rootPaths().mkString("\n").split("\n")
+    return found
+
+
+@contextmanager
+def stage_tables(spark: SparkSession, docs: DataFrame):
+    """For one stage of a pipeline, whose stages run one after another: deletes the working tables of the stages before it, but for what docs is still read from."""
+    used = [path.partition(":")[2].lstrip("/") for path in roots(docs)]
+    for path in _STAGES.copy():
+        if path.partition(":")[2].lstrip("/") not in used:
+            _delete(spark, path)
+            _STAGES.remove(path)
+    before = len(_MADE)
+    yield
+    _STAGES.extend(_MADE[before:])
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() that no later step reads."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.written_to)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

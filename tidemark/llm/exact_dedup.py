@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, new_path, text_or_empty, wrapped, written
+from .common import SPACES, new_path, text_or_empty, without_rule, wrapped, written
 
 
 def _digest(text: Column) -> Column:
@@ -122,6 +122,7 @@ def dedup_documents(docs: DataFrame, index_path: str | None = None) -> DataFrame
     order = F.struct("points", F.bitwise_not(F.col("row.doc_id")), "tie")
     best = marked.groupBy("digest").agg(F.max_by("row", order).alias("row"), F.max("points").alias("keep_points"))
     with DigestIndex(spark, index_path or new_path(spark, "digest-index")) as index:
-        fresh = written(index.unseen(best), "fresh-documents")
+        with without_rule(spark, "org.apache.spark.sql.catalyst.optimizer.PushDownLeftSemiAntiJoin"):  # it would join, and so shuffle, every copy before rows are reduced
+            fresh = written(index.unseen(best), "fresh-documents")
         index.append(fresh.select("digest", F.col("row.doc_id").alias("keep_id"), "keep_points", F.lit(None).cast("long").alias("keep_row")), uuid.uuid4().hex)
     return fresh.select("row.*")

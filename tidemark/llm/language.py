@@ -4,8 +4,8 @@ Texts are lower-cased, runs of other than letters become one space, and every
 run of 1 to 3 characters is hashed to one of 2^16 features. The matrix of log
 probabilities (features x languages) is broadcast: 256 KB a language, for the
 `most_labels` most frequent labels at most. Texts are scored in sparse batches: the
-features of many texts stand one after another with the texts' bounds, the matrix's
-rows are gathered for a chunk of them and summed from bound to bound.
+features of many texts, or of parts of long ones, stand one after another with their
+bounds, the matrix's rows are gathered for all and summed from bound to bound.
 
 Fitting uses at most about `fit_rows` labelled documents, chosen by a hash of
 doc_id; scoring reads every whole text. A text that is null or has no letter is
@@ -24,7 +24,7 @@ documents; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +41,8 @@ SMOOTHING = 0.5
 MOST_LABELS = 256
 LEAST_SCORE = 0.5
 LEAST_GAIN = 1.0
-CHUNK = 1 << 20  # numbers that are gathered at a time
+CHUNK = 1 << 18  # numbers that are gathered at a time, or those of one part of a text
+SPAN = 1 << 15  # characters in a part of a text
 UNKNOWN = "und"
 
 _UNSEEN = 0xFFFFFFFF
@@ -58,29 +59,31 @@ def letters(codes: np.ndarray) -> np.ndarray:
     return found
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed n-grams of all texts, one text after another, and where each text's end; a text without letters has none."""
-    codes, sizes = [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        own = letters(np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4"))
-        if own.any():
-            own = np.concatenate([[0], own, [0]])
-            own = own[np.concatenate([[True], (own[1:] != 0) | (own[:-1] != 0)])]
-            codes.append(own)
-            sizes[i] = len(own)
-    if not codes:
-        return np.zeros(0, np.int32), sizes
-    joined, ends = np.concatenate(codes).astype(np.uint64), np.cumsum(sizes)
-    to_end = np.repeat(ends, sizes) - np.arange(len(joined))  # characters from here to the end of the text
-    found, place, gram = [], [], np.zeros(len(joined), np.uint64)
+def _hashed(codes: np.ndarray, skip: int) -> np.ndarray:
+    """Features of the n-grams of codes that don't lie in the first `skip` alone."""
+    found, gram = [], np.zeros(len(codes), np.uint64)
     for n in range(1, LONGEST + 1):
-        gram = gram[: len(joined) - n + 1] * np.uint64(0x110000) + joined[n - 1 :]
-        inside = np.nonzero(to_end[: len(gram)] >= n)[0]
-        found.append(((gram[inside] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int32))
-        place.append(inside)
-    order = np.argsort(np.repeat(np.arange(len(texts)), sizes)[np.concatenate(place)], kind="stable")
-    grams = sum(np.maximum(sizes - n, 0) for n in range(LONGEST))
-    return np.concatenate(found)[order], np.cumsum(grams)
+        gram = gram[: max(0, len(codes) - n + 1)] * np.uint64(0x110000) + codes[n - 1 :]
+        found.append((gram[max(0, skip - n + 1) :] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48))
+    return np.concatenate(found).astype(np.int32)
+
+
+def features(text: str | None, span: int = SPAN) -> Iterator[np.ndarray]:
+    """The hashed n-grams of a text, in parts for `span` characters each; nothing if it has no letter."""
+    text, carry, last = text or "", np.zeros(0, np.uint64), 0
+    for at in range(0, len(text), span):
+        codes = letters(np.frombuffer(text[at : at + span].encode("utf-32-le", "surrogatepass"), "<u4"))
+        kept = codes != 0
+        kept[1:] |= codes[:-1] != 0
+        kept[0] |= last != 0
+        codes = codes[kept].astype(np.uint64)
+        if len(codes):
+            last = codes[-1]
+            ends = [np.zeros(1, np.uint64)] if at + span >= len(text) and last else []
+            begins = carry if len(carry) else np.zeros(1, np.uint64)
+            whole = np.concatenate([begins, codes, *ends])
+            yield _hashed(whole, len(carry))
+            carry = whole[1 - LONGEST :]
 
 
 @dataclass
@@ -93,26 +96,34 @@ class Model:
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, posterior and gain of each text."""
-        said, score, gain = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         if not self.languages:
-            return said, score, gain
-        found, ends = features(texts)
-        begins = np.concatenate([[0], ends[:-1]])
-        held = np.nonzero(ends > begins)[0]
-        total = np.tile(self.priors, (len(held), 1))
-        step = max(1, CHUNK // len(self.languages))
-        for at in range(0, len(found), step):
-            # the texts that have features in this chunk, and where each one's begin in it
-            first, last = np.searchsorted(ends[held], at, "right"), np.searchsorted(begins[held], at + step, "left")
-            starts = np.maximum(begins[held[first:last]] - at, 0)
-            total[first:last] += np.add.reduceat(self.weights[found[at : at + step]], starts, axis=0, dtype=np.float64)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        total, grams = np.tile(self.priors, (len(texts), 1)), np.zeros(len(texts), np.int64)
+        step = max(1024, CHUNK // len(self.languages))
+        parts, owners, held = [], [], 0
+
+        def add():
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            sums = np.add.reduceat(self.weights[np.concatenate(parts)], np.cumsum(sizes) - sizes, axis=0, dtype=np.float64)
+            np.add.at(total, owners, sums)
+            np.add.at(grams, owners, sizes)
+
+        for i, text in enumerate(texts):
+            for part in features(text, min(SPAN, step)):
+                parts.append(part)
+                owners.append(i)
+                held += len(part)
+                if held >= step:
+                    add()
+                    parts, owners, held = [], [], 0
+        if parts:
+            add()
         best = total.argmax(axis=1)
-        top = total[np.arange(len(held)), best]
-        score[held] = 1 / np.exp(total - top[:, None]).sum(axis=1)
-        gain[held] = (top - self.priors[best]) / (ends - begins)[held] + np.log(FEATURES)
-        for i, k in zip(held.tolist(), best.tolist(), strict=True):
-            said[i] = self.languages[k]
-        return said, score, gain
+        top = total[np.arange(len(texts)), best]
+        told = grams > 0
+        score = np.where(told, 1 / np.exp(total - top[:, None]).sum(axis=1), 0.0)
+        gain = np.where(told, (top - self.priors[best]) / np.maximum(grams, 1) + np.log(FEATURES), 0.0)
+        return [self.languages[k] if t else UNKNOWN for k, t in zip(best.tolist(), told.tolist(), strict=True)], score, gain
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, most_labels: int = MOST_LABELS) -> Model:
@@ -130,12 +141,12 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, most_labels: int = MOST_L
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in slices(batches):
-            langs, texts = (c.to_pylist() for c in batch.columns)
-            found, ends = features(texts)
-            for lang, b, e in zip(langs, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                if e > b:
-                    counts = np.bincount(found[b:e], minlength=FEATURES)
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                read = False
+                for part in features(text):
+                    counts, read = np.bincount(part, minlength=FEATURES), True
                     sums[lang] = sums[lang] + counts if lang in sums else counts
+                if read:
                     docs[lang] = docs.get(lang, 0) + 1
         for lang, counts in sums.items():
             at = np.nonzero(counts)[0]
