@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -259,3 +260,18 @@ def test_requests_of_one_document_follow_each_other(spark):
     assert {r.ord: r.outcome for r in judged.collect()} == {a[0]: a[5] for a in asked}
     added = {r.uuid: r.supersedes for r in documents.applied(docs, judged.withColumn("created", F.col("ord"))).collect()}
     assert added == {a[4]: a[6] for a in asked if a[5] in ("put", "deleted")}
+
+
+def test_combine_refuses_what_both_hold(spark):
+    source = lambda i, uuid: (i, {}, {}, False, 0, uuid, None, None)
+    ddl = "id long, uuid string, kind string, name string, schema string, body string, created long, supersedes long"
+    docs = lambda *rows: spark.createDataFrame([(i, u, "k", n, "s", body, 0, None) for i, u, n, body in rows], ddl)
+    make = lambda *sources: archive(spark, sources=sources)
+    a, b = make(source(1, "x"), source(2, None)), make(source(1, "y"), source(2, None))
+    out = rewrite.combine(replace(a, documents=docs((1, "u", "n", "{}"))), replace(b, documents=docs((5, "v", "m", "{}"), (6, "u", "n", "{}"))))
+    assert sorted((r.id, r.uuid) for r in out.sources.collect()) == [(1, "x"), (2, None), (3, "y"), (4, None)]
+    assert sorted((r.id, r.uuid) for r in out.documents.collect()) == [(1, "u"), (2, "v")]
+    with pytest.raises(rewrite.DuplicateSource, match="x"):
+        rewrite.combine(a, make(source(7, "x")))
+    with pytest.raises(documents.DocumentConflict, match="u"):
+        rewrite.combine(replace(a, documents=docs((1, "u", "n", "{}"))), replace(b, documents=docs((5, "u", "n", "[]"))))

@@ -127,3 +127,21 @@ def test_streamed_liveness_equals_the_window(spark, tmp_path):
         q = ingest.liveness(spark.readStream.schema(schema).parquet(str(src))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("source_id", "seen_at", "state").collect())) == expected
+
+
+def test_a_range_is_pushed_to_the_payload(spark, root):
+    s = st.Store.create(spark, root)
+    a = derive.archive(spark, "/root/testdata/sf0.001")
+    s.replace(a)
+    held = s.snapshot()
+    times = held.segments.agg(F.min("first_ts").alias("lo"), F.max("last_ts").alias("hi")).first()
+    middle = (times.lo + times.hi) // 2
+    found = scan.payload_within(held.payload, scan.overlapping(held.segments, middle, middle + 3_600_000_000))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts," in plan and "LessThanOrEqual(ts," in plan
+    expected = scan.payload_of(a.payload, scan.overlapping(a.segments, middle, middle + 3_600_000_000))
+    assert found.select("event_id").exceptAll(expected.select("event_id")).count() == 0 and found.count() == expected.count() > 0
+    assert scan.payload_within(held.payload, held.segments.where("false")).count() == 0
+    streams = held.payload.select("source_id", "stream").distinct().count()
+    files = [f for f in held.payload.inputFiles()]
+    assert len(files) <= 2 * streams

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -104,6 +104,17 @@ def applied(docs: DataFrame, judged: DataFrame) -> DataFrame:
     )
 
 
+class DocumentConflict(ValueError):
+    """Two archives hold a revision of one uuid with different content."""
+
+
+def refuse(conflicts: DataFrame) -> None:
+    """DocumentConflict if there is any."""
+    first = conflicts.orderBy("uuid").limit(1).collect()
+    if first:
+        raise DocumentConflict(f"revision {first[0].uuid} of {first[0].kind}/{first[0].name} differs")
+
+
 def jumped(pointers: DataFrame, columns: list[str]) -> DataFrame:
     """pointers (id, ...) with each of the columns followed to its end: ids that point to themselves.
 
@@ -136,7 +147,12 @@ def jumped(pointers: DataFrame, columns: list[str]) -> DataFrame:
 class Copied:
     inserted: DataFrame  # revisions, as they go into the target
     conflicts: DataFrame  # revisions that both hold with different content: such a copy must not be made
-    report: DataFrame  # kind, name, displaced, current, forked for each document that got a revision
+    reported: Callable[[], DataFrame]
+
+    @property
+    def report(self) -> DataFrame:
+        """kind, name, displaced, current, forked for each document that got a revision; runs the rounds of jumped()."""
+        return self.reported()
 
 
 def copy(src: DataFrame, dst: DataFrame, id_slice: int = 1 << 32) -> Copied:
@@ -164,6 +180,10 @@ def copy(src: DataFrame, dst: DataFrame, id_slice: int = 1 << 32) -> Copied:
     ids = numbered.select(F.col("id").alias("_src"), F.col("new_id").alias("_to")).union(both.where("held_id IS NOT NULL").select("id", "held_id"))
     inserted = numbered.join(ids, F.col("supersedes") == F.col("_src"), "left").select(F.col("new_id").alias("id"), "uuid", *CONTENT, "created", F.col("_to").alias("supersedes"))
 
+    return Copied(inserted, conflicts, lambda: _forks(dst, inserted, last))
+
+
+def _forks(dst: DataFrame, inserted: DataFrame, last: DataFrame) -> DataFrame:
     after = dst.select(*KEY, "id", "supersedes").union(inserted.select(*KEY, "id", "supersedes"))
     tops = inserted.groupBy(*KEY).agg(F.max_by(F.struct("id", "uuid"), "id").alias("top"))
     earlier = heads(dst).select(*KEY, F.struct("id", "uuid", F.col("body").isNull().alias("deleted")).alias("before"))
@@ -179,5 +199,4 @@ def copy(src: DataFrame, dst: DataFrame, id_slice: int = 1 << 32) -> Copied:
     reach = top.join(older, "at_new").select(*KEY, (F.col("at_target") == F.col("target")).alias("reaches"), "shares")
     judged = touched.join(reach, KEY, "left")
     forked = F.col("before").isNotNull() & ~F.col("reaches") & (~F.col("before.deleted") | F.col("shares"))
-    report = judged.select(*KEY, F.when(forked, F.col("before.uuid")).alias("displaced"), F.col("top.uuid").alias("current"), forked.alias("forked"))
-    return Copied(inserted, conflicts, report)
+    return judged.select(*KEY, F.when(forked, F.col("before.uuid")).alias("displaced"), F.col("top.uuid").alias("current"), forked.alias("forked"))

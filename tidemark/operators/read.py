@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import KEYS, Archive
 from . import stats
-from .scan import live, overlapping, payload_of
+from .scan import live, overlapping, payload_within
 
 
 def catalog(a: Archive) -> DataFrame:
@@ -52,7 +52,7 @@ def probe(a: Archive, columns: list[str]) -> DataFrame:
 
 def stream_range(a: Archive, start: int, end: int, columns: list[str]) -> DataFrame:
     """Segments that meet the range, whole, and a stream's whole tail if any of its rows lies in the range."""
-    sealed = payload_of(a.payload, overlapping(a.segments, start, end)).select(*KEYS, F.lit(True).alias("sealed"), *columns)
+    sealed = payload_within(a.payload, overlapping(a.segments, start, end)).select(*KEYS, F.lit(True).alias("sealed"), *columns)
     tail = live(a.wal, a.segments)
     touched = tail.where(F.col("ts").between(start, end)).select(*KEYS).distinct()
     return sealed.unionByName(tail.join(touched, KEYS, "left_semi").select(*KEYS, F.lit(False).alias("sealed"), *columns))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import CALLER_BOUND, KEYS, STREAM_BOUND, Archive
-from . import stats
+from . import documents, stats
 from .ingest import as_bounds, patched, raise_bounds
 from .scan import live, overlapping
 
@@ -162,13 +162,26 @@ def shared_sources(a: Archive, b: Archive) -> DataFrame:
     return b.sources.where("uuid IS NOT NULL").select("uuid", "id").join(a.sources.select("uuid"), "uuid", "left_semi")
 
 
+class DuplicateSource(ValueError):
+    """Both archives hold a source of one uuid."""
+
+
 def combine(a: Archive, b: Archive) -> Archive:
-    """b's sources after a's, under new ids. Sources that both hold would be in twice: see shared_sources() first."""
+    """b's sources after a's, under new ids, and the documents of both, a's first.
+
+    DuplicateSource if they share a source's uuid, DocumentConflict if they hold a
+    revision with different content.
+    """
+    twice = shared_sources(a, b).orderBy("id").limit(1).collect()
+    if twice:
+        raise DuplicateSource(f"both archives hold source {twice[0].uuid}")
+    docs = documents.copy(b.documents, a.documents)
+    documents.refuse(docs.conflicts)
     last = a.sources.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
     shift = b.sources.select("id").withColumn("_n", F.row_number().over(W.orderBy("id"))).crossJoin(last).select(F.col("id").alias("_id"), (F.col("_last") + F.col("_n")).alias("_to"))  # one row
     moved = lambda df, key="source_id": df.join(shift, F.col(key) == F.col("_id")).withColumn(key, F.col("_to")).drop("_id", "_to")
     parts = {name: getattr(a, name).unionByName(moved(getattr(b, name)), allowMissingColumns=True) for name in ("segments", "payload", "wal", "segment_indexes", "clock_offsets", "caller_rows", "bounds")}
-    return Archive(sources=a.sources.unionByName(moved(b.sources, "id")), documents=a.documents, **parts)
+    return Archive(sources=a.sources.unionByName(moved(b.sources, "id")), documents=a.documents.unionByName(docs.inserted), **parts)
 
 
 def renamed_streams(a: Archive, f: Callable[[Column], Column]) -> Archive:

@@ -45,6 +45,14 @@ def payload_of(payload: DataFrame, segments: DataFrame) -> DataFrame:
     return payload.join(segments.select(*KEYS, "seq"), [*KEYS, "seq"], "left_semi")
 
 
+def payload_within(payload: DataFrame, segments: DataFrame) -> DataFrame:
+    """payload_of() catalog rows of one time range: their span, two numbers from the catalog, becomes a filter that the payload's scan pushes down."""
+    span = segments.agg(F.min("first_ts").alias("first"), F.max("last_ts").alias("last")).first()
+    if span.first is None:
+        return payload.where("false")
+    return payload_of(payload.where(F.col("ts").between(span.first, span.last)), segments)
+
+
 def indexes(segments: DataFrame, segment_indexes: DataFrame) -> DataFrame:
     """Each segment's caller index, or null; the payload isn't touched."""
     return segments.select(*KEYS, "seq").join(segment_indexes, [*KEYS, "seq"], "left")

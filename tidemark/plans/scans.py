@@ -47,7 +47,7 @@ def s8(a):
 
 @on_archive("s9_range_scan", f"SELECT p.* FROM payload p JOIN segments s USING ({K}, seq) WHERE s.last_ts >= {START} AND s.first_ts <= {END}")
 def s9(a):
-    return scan.payload_of(a.payload, scan.overlapping(a.segments, START, END))
+    return scan.payload_within(a.payload, scan.overlapping(a.segments, START, END))
 
 
 @on_archive("s10_wal", "SELECT * FROM wal")

@@ -14,6 +14,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import BOUNDS, CALLER_ROWS, CLOCK_OFFSETS, DOCUMENTS, KEYS, SEGMENT_INDEXES, SEGMENTS, SOURCES, WAL, Archive
 
@@ -55,6 +56,9 @@ class Append:
     rows: DataFrame
 
 
+RUN = 256  # segments
+
+
 class _Files:
     def __init__(self, spark: SparkSession, root: str):
         self.jvm, self.root = spark._jvm, root.rstrip("/")
@@ -103,6 +107,12 @@ class _Files:
         return self.fs.getContentSummary(self.path(name)).getLength()
 
 
+def _laid_out(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a stream together, in runs of RUN segments so that no stream is one task, sorted by time so that files and row groups can be skipped by it."""
+    run = [F.expr(f"seq div {RUN}")] if "seq" in rows.columns else []
+    return rows.repartition(*keys, *run).sortWithinPartitions(*keys, *(["ts"] if "ts" in rows.columns else []))
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), _Files(spark, root)
@@ -168,7 +178,8 @@ class Store:
             path = f"{name}/{uuid.uuid4().hex}"
             writer = rows.write.options(**WRITE_OPTIONS)
             if name in PARTITIONED:
-                writer = writer.partitionBy(*PARTITIONED[name])
+                rows = _laid_out(rows, PARTITIONED[name])
+                writer = rows.write.options(**WRITE_OPTIONS).partitionBy(*PARTITIONED[name])
             writer.parquet(f"{self.root}/data/{path}")
             ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
             tables[name] = [*(tables.get(name, []) if isinstance(change, Append) else []), {"path": path, "schema": ddl}]
