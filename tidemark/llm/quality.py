@@ -100,18 +100,16 @@ def measures(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     base = docs.select("doc_id", lang.alias("lang"), text.alias("text"), F.filter(F.split(text, SPACES + "+"), lambda w: w != "").alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"))
-    edge = SPACES.replace("[", "[^")
-    stop = f"(?i)(?<!{edge})(?:{'|'.join(STOP_WORDS)})(?!{edge})"  # between white space or the text's ends
     return base.select(
         "doc_id",
         "lang",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", SPACES + "+", "")).cast("long").alias("word_chars"),
+        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         _dropped(F.col("text"), "[#*$%&|<>]+").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeated(F.col("words")).alias("n_repeat_words"),
         _dropped(F.col("text"), "!+").alias("n_exclamations"),
-        F.regexp_count("text", F.lit(stop)).cast("long").alias("n_stop_words"),
+        F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size("lines").cast("long").alias("n_lines"),
     )
 
