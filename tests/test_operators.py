@@ -217,6 +217,14 @@ def test_index_states_of_every_source_equal_a_plain_fold(spark):
     assert times(plans.queries()["x4_index_states"](spark, sf), "source_id", "stream", "ts", "ord", "state_a", "state_b", "index_kind") == sorted(expected)
 
 
+def test_entries_after_a_position_within_a_time(spark):
+    """Of entries at a name's newest old time, those beyond the number it held there are new; names that it lacked are new throughout."""
+    rows = lambda *names: spark.createDataFrame([(1, n, ts, o, "") for n, ts, o in names], CALLER_ROWS)
+    old = [("a", 5, 0), ("a", 9, 1), ("a", 9, 2), ("b", 9, 0)]
+    new = replicate.new_index_entries(rows(*old), rows(*old, ("a", 9, 3), ("a", 9, 4), ("a", 10, 5), ("c", 1, 0), ("c", 1, 1)))
+    assert times(new, "stream", "ts", "ord") == [("a", 9, 3), ("a", 9, 4), ("a", 10, 5), ("c", 1, 0), ("c", 1, 1)]
+
+
 def test_every_order_is_a_request(spark):
     from tidemark import plans
 

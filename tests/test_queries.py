@@ -44,7 +44,7 @@ def at_cut(tmp_path_factory):
     return str(sf)
 
 
-@pytest.mark.parametrize("name", ["x3_changes"])
+@pytest.mark.parametrize("name", ["x3_changes", "x4_index_entries"])
 def test_caller_rows_at_the_cut(spark, at_cut, name):
     c = duckdb.connect()
     for t in TABLES:
