@@ -53,6 +53,23 @@ def test_caller_rows_at_the_cut(spark, at_cut, name):
     assert plain(map(tuple, got.select(*expected.columns).collect())) == plain(expected.fetchall())
 
 
+def test_entries_in_an_hour_that_the_session_zone_skips(spark, tmp_path):
+    """Times have no zone: those from 2 to 3 on a spring day stay as they are, also where clocks skip that hour."""
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 7 = 0 THEN TIMESTAMP '2024-03-10 02:00:00' + to_seconds(3 * event_id) ELSE ts END AS ts) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    for t in TABLES:
+        if t != "events":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    expected, zone = c.sql(plans.oracles()["x4_index_entries"]), spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = plans.queries()["x4_index_entries"](spark, str(tmp_path)).select(*expected.columns).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert plain(map(tuple, got)) == plain(expected.fetchall())
+
+
 def test_names():
     assert set(plans.oracles()) <= set(plans.queries())
     assert set(plans.queries()) <= set(entry.queries())

@@ -26,8 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds of a zoneless timestamp, read as UTC in any session zone."""
-    return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
+    """Microseconds of a zoneless timestamp, read as UTC in any session zone; a cast to an instant would move the hour that the zone skips in spring."""
+    minutes = F.hour(ts) * 60 + F.minute(ts)
+    return F.unix_date(ts.cast("date")).cast("long") * SLICE + minutes.cast("long") * MINUTE + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
 
 
 def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
